@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import cut, let, words_of
 
 SHINGLE_WORDS, SCALE = 5, 8
+NO_ID = -(1 << 63)
 
 
 def shingle_hashes(text: Column, n_words: int = SHINGLE_WORDS) -> Column:
@@ -89,26 +90,31 @@ def from_string(written: Column) -> Column:
     return F.when(F.length(written) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(at, low))
 
 
+def _identity(id_col: str, text_col: str) -> list[Column]:
+    """Two columns without nulls that name a document: `h` hashes the text and whether the id is null."""
+    key = F.col(id_col).cast("long")
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), key.isNull())
+    return [F.coalesce(key, F.lit(NO_ID)).alias("id"), hashed.alias("h")]
+
+
 def next_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 16384) -> DataFrame:
     """(id, h, need, next_id, next_h): each document's successor by descending id.
 
-    `h` is the text's hash and `need` half its code points.  Ids are cut into
+    `need` is half the text's code points; null ids come last, as the least number.  Ids are cut into
     blocks of `width` ids, so a window holds few rows of a few bytes; a second
     window, over one row per block, links each block's last row to the next block.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.floor(F.char_length(text) / 2).cast("int").alias("need")
-    )
+    rows = docs.select(*_identity(id_col, text_col), F.floor(F.char_length(text) / 2).cast("int").alias("need"))
     rows = cut(rows.groupBy("id", "h").agg(F.max("need").alias("need"))).withColumn("block", F.floor(F.col("id") / width))
-    down = Window.partitionBy("block").orderBy(F.col("id").desc_nulls_last(), "h")
+    down = Window.partitionBy("block").orderBy(F.col("id").desc(), "h")
     this = F.struct("id", "h")
     inside = rows.withColumns({"next": F.lead(this).over(down), "place": F.row_number().over(down)})
     heads = inside.where("place = 1").select(F.col("block").alias("b"), this.alias("head"))
-    top = Window.partitionBy(F.lit(0)).orderBy(F.col("b").desc_nulls_last())
+    top = Window.partitionBy(F.lit(0)).orderBy(F.col("b").desc())
     whole = top.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = heads.select("b", F.coalesce(F.lead("head").over(top), F.first("head").over(whole)).alias("after"))
-    linked = inside.join(after, F.col("block").eqNullSafe(F.col("b"))).withColumn("next", F.coalesce("next", "after"))
+    linked = inside.join(after, F.col("block") == F.col("b")).withColumn("next", F.coalesce("next", "after"))
     return linked.select("id", "h", "need", F.col("next.id").alias("next_id"), F.col("next.h").alias("next_h"))
 
 
@@ -122,19 +128,18 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     travel on from a document to the one before it.
     """
     links = next_in_order(docs, id_col, text_col)
-    texts = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    )
+    texts = docs.select(*_identity(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.repartition("id", "h")
     one = Window.partitionBy("id", "h").orderBy(F.lit(0))
     source = texts.withColumn("copy", F.row_number().over(one)).where("copy = 1")
     source = source.select(F.col("id").alias("from_id"), F.col("h").alias("from_h"), F.col("text").alias("from_text"))
-    begun = links.join(source, F.col("next_id").eqNullSafe(F.col("from_id")) & (F.col("next_h") == F.col("from_h"))).select(
+    begun = links.join(source, (F.col("next_id") == F.col("from_id")) & (F.col("next_h") == F.col("from_h"))).select(
         F.col("id").alias("to_id"), F.col("h").alias("to_h"), F.substr("from_text", F.lit(1), F.col("need")).alias("begin"),
         sketch(F.col("from_text"), n_words, scale).alias("next_sketch"),
     )
-    joined = texts.join(begun, F.col("id").eqNullSafe(F.col("to_id")) & (F.col("h") == F.col("to_h")))
+    joined = texts.join(begun, (F.col("id") == F.col("to_id")) & (F.col("h") == F.col("to_h")))
     n = F.char_length("text")
     edited = F.concat(F.substr("text", F.lit(1), (n - F.floor(n / 2)).cast("int")), "begin")
-    out = joined.select("id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_sketch")
+    given = F.when((F.col("id") != NO_ID) | (F.col("h") != F.xxhash64("text", F.lit(True))), F.col("id"))
+    out = joined.select(given.alias("id"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_sketch")
     return out.withColumns({"sketch": sketch(F.col("text"), n_words, scale), "edited_sketch": sketch(F.col("edited"), n_words, scale)})
