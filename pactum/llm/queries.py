@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, line_dedup, packing, quality_rules, sharding, simhash, toxicity
+from . import bpe, cotraining, fingerprints, line_dedup, lm_scoring, packing, quality_rules, sharding, simhash, toxicity
 from .common import table, text_crc32
 
 
@@ -53,6 +53,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = cotraining.train(docs, table(spark, sf_dir, "labels"), pages)
+    return cotraining.score(docs, pages, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")
@@ -71,6 +79,14 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    words = lm_scoring.vocabulary(docs)
+    return lm_scoring.score(docs, words, lm_scoring.train(docs, words)).select(
+        "doc_id", "n_tokens", "log_likelihood", (F.col("log_likelihood") / F.greatest("n_tokens", F.lit(1))).alias("mean_log_likelihood")
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -80,6 +96,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_sharding, op2_packing, op3_toxicity, op4_quality_rules, op5_bpe, op7_line_dedup, op8_fingerprints, op10_simhash
+        op1_sharding, op2_packing, op3_toxicity, op4_quality_rules, op5_bpe, op6_cotraining, op7_line_dedup,
+        op8_fingerprints, op9_lm_scoring, op10_simhash
     )
 }

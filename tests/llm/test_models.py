@@ -1,11 +1,14 @@
 """Learnt operators: held-out accuracy, and their behaviour on awkward rows."""
 
 import zlib
+from collections import Counter
+
+import numpy as np
 
 import pytest
 from pyspark.sql import functions as F
 
-from pactum.llm import toxicity
+from pactum.llm import cotraining, lm_scoring, toxicity
 from pactum.llm.queries import QUERIES
 
 from .cases import awkward, empty, read
@@ -63,3 +66,88 @@ def test_toxicity_ignores_held_out_labels(spark):
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = toxicity.train(docs, labels), toxicity.train(docs, flipped)
     assert a == b and a.weights
+
+
+def test_cotraining_held_out(spark):
+    truth = {r["doc_id"]: r["quality"] for r in read(SF, "labels")}
+    rows = QUERIES["op6_cotraining"](spark, SF).collect()
+    assert len(rows) == len(read(SF, "documents")) and all(0 <= r.score <= 1 for r in rows)
+    held = [(r.score, truth[r.doc_id]) for r in rows if r.held_out and r.doc_id in truth]
+    assert auc(held) > 0.95
+    assert sum((s >= 0.5) == bool(y) for s, y in held) / len(held) > 0.95
+    # calibrated: the mean score is near the share of good documents
+    assert abs(sum(s for s, _ in held) / len(held) - sum(y for _, y in held) / len(held)) < 0.05
+
+
+def test_cotraining_uses_the_other_views_labels():
+    """With few labels, pseudo-labels of the clear view teach the other one."""
+    rng = np.random.default_rng(0)
+    y = rng.integers(0, 2, 1200).astype(float)
+    text = y[:, None] * 4 + rng.standard_normal((1200, 2))
+    page = np.concatenate([y[:, None] * 2 - 1, np.zeros((1200, 1))], axis=1) + 1.2 * rng.standard_normal((1200, 2))
+    lab, pool = slice(0, 30), slice(30, 800)
+    calibrate = np.arange(30) % 3 == 0
+    accuracy = []
+    for rounds in (0, 5):
+        m = cotraining.co_train(text[lab], page[lab], y[lab], text[pool], page[pool], calibrate, rounds)
+        accuracy.append(((m.page.logit(page[800:]) > 0) == y[800:]).mean())
+        assert ((m.scores(m.text.logit(text[800:]), page[800:]) > 0.5) == y[800:]).mean() > 0.95
+    assert accuracy[1] >= accuracy[0] - 0.01
+
+
+def test_cotraining_awkward(spark):
+    docs = awkward(spark, extra=True)
+    pages = spark.createDataFrame([(1, "http://a.example/x?y"), (1, None), (None, "http://b"), (4, "no scheme")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(None, 1), (13, None)], "doc_id long, quality int")
+    for known in (labels, labels.where("false")):
+        rows = cotraining.score(docs, pages, cotraining.train(docs, known, pages)).collect()
+        assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
+    model = cotraining.train(empty(spark), labels, pages)
+    assert cotraining.score(empty(spark), pages, model).count() == 0
+
+
+def brute_likelihood(text, words, net):
+    tokens = text.lower().split()
+    look = words.lookup()
+    kinds = [int(look.kind[look[w]]) for w in tokens]
+    tables, b1, w2, b2 = (p.astype(float) for p in net.parts)
+    total = 0.0
+    for i, w in enumerate(tokens):
+        z = b1.copy()
+        for k, o in enumerate(lm_scoring.OFFSETS):
+            z += tables[k][kinds[i + o] if 0 <= i + o < len(kinds) else net.classes]
+        logits = np.tanh(z) @ w2 + b2
+        total += logits[kinds[i]] - logits.max() - np.log(np.exp(logits - logits.max()).sum()) + look.log_p[look[w]]
+    return len(tokens), total
+
+
+def test_lm_scores_are_sums_of_conditionals(spark):
+    docs = awkward(spark, extra=True).where("length(text) < 4000 or text is null")
+    words = lm_scoring.vocabulary(docs, most_words=40, classes=8)
+    net = lm_scoring.train(docs, words, classes=8, hidden=4)
+    for r in lm_scoring.score(docs.dropDuplicates(["doc_id"]), words, net).join(docs.dropDuplicates(["doc_id"]).select("doc_id", "text"), "doc_id").collect():
+        n, total = brute_likelihood(r.text or "", words, net)
+        assert r.n_tokens == n and r.log_likelihood == pytest.approx(total, rel=1e-3, abs=1e-3)
+    assert lm_scoring.score(empty(spark), words, net).count() == 0
+    assert lm_scoring.train(empty(spark), lm_scoring.vocabulary(empty(spark))).flat.shape == lm_scoring.Network().flat.shape
+
+
+def test_lm_vocabulary_counts_everything(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    counts = Counter(w for r in read(sf_dir, "documents") for w in r["text"].lower().split())
+    words = lm_scoring.vocabulary(docs, most_words=500)
+    want = {w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:500]}
+    assert set(words.words) == want
+    for k in {kind for kind, _ in words.words.values()}:
+        own = [(w, p) for w, (kind, p) in words.words.items() if kind == k]
+        assert sum(np.exp(p) for _, p in own) == pytest.approx(1)
+
+
+def test_lm_prefers_order(spark, sf_dir):
+    """Shuffled words lose: the network has learnt from both sides, beyond word frequencies."""
+    docs = spark.createDataFrame([(i, "alpha beta gamma delta " * 30) for i in range(60)], "doc_id long, text string")
+    words = lm_scoring.vocabulary(docs)
+    net = lm_scoring.train(docs, words, rounds=3, stride=1)
+    pair = spark.createDataFrame([(0, "alpha beta gamma delta " * 20), (1, "delta beta alpha gamma gamma alpha delta beta " * 10)], "doc_id long, text string")
+    s = {r.doc_id: r.log_likelihood for r in lm_scoring.score(pair, words, net).collect()}
+    assert s[0] > s[1] + 10
