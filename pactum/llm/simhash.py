@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions
+from .common import LAST_ID, cut, shuffle_partitions
 
 SEED, BITS, MOST_LISTED = 42, 64, 1 << 15
 _LANES = np.uint64(0x0101010101010101)
@@ -99,59 +99,67 @@ def fingerprints(docs: DataFrame, n_words: int = 4, id_col: str = "doc_id", text
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, fp long")
 
 
-def sweep(fps: np.ndarray, distance: int) -> Iterator[tuple[int, np.ndarray]]:
-    """A spanning forest of the links among `fps` (uint64): nodes with the new ones each reaches."""
-    rest = fps
-    while len(rest) > 1:
-        frontier, rest = [rest[0]], rest[1:]
-        while frontier and len(rest):
-            node = frontier.pop()
-            near = np.bitwise_count(rest ^ node) <= distance
+def sweep(ids: np.ndarray, prints: np.ndarray, distance: int) -> Iterator[tuple[int, np.ndarray]]:
+    """A spanning forest of the links among `prints` (rows, words): ids with the new ones each reaches."""
+    while len(ids) > 1:
+        frontier = [(ids[0], prints[0])]
+        ids, prints = ids[1:], prints[1:]
+        while frontier and len(ids):
+            node, own = frontier.pop()
+            near = np.bitwise_count(prints ^ own).sum(axis=1) <= distance
             if near.any():
-                found, rest = rest[near], rest[~near]
+                found = ids[near]
                 yield int(node), found
-                frontier.extend(found)
+                frontier.extend(zip(found, prints[near]))
+                ids, prints = ids[~near], prints[~near]
 
 
-def _forest(distance: int, most_listed: int):
-    """mapInArrow over (key, fp) sorted by key: links (u, v), and (u, null) for members of overfull lists."""
+def _forest(distance: int, most_listed: int, overfull: str):
+    """mapInArrow over (key, id, words of the print ...) sorted by key: the lists' links (u, v).
+
+    The members of a list above `most_listed` are not held.  With overfull
+    "report" they become (id, null), with "chain" each is linked to the list's
+    first, whatever their prints (for links that are verified later).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, count = None, [], 0  # the open list; beyond most_listed it is passed on, not held
+        key, held, count, first = None, [], 0, 0  # the open list
+
+        def closed() -> list:
+            if not 1 < count <= most_listed:
+                return []
+            ids, at = np.unique(np.concatenate([h[0] for h in held]), return_index=True)
+            prints = np.concatenate([h[1] for h in held])[at]
+            return [(np.full(len(v), u, dtype=np.int64), v) for u, v in sweep(ids, prints, distance)]
 
-        def links(fps: np.ndarray):
-            for u, found in sweep(np.unique(fps), distance):
-                yield np.full(len(found), u, dtype=np.uint64), found
+        def passed(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+            return (ids, None) if overfull == "report" else (np.full(len(ids), first, dtype=np.int64), ids)
 
-        def table(pairs, singles):
-            u = np.concatenate([*(p[0] for p in pairs), *singles]) if pairs or singles else np.zeros(0, np.uint64)
-            v = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.uint64)
-            right = pa.concat_arrays([pa.array(v.view(np.int64)), pa.nulls(len(u) - len(v), pa.int64())])
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), right], ["u", "v"])
+        def table(found: list) -> pa.RecordBatch:
+            u = pa.array(np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)]))
+            v = [pa.nulls(len(f[0]), pa.int64()) if f[1] is None else pa.array(f[1]) for f in found]
+            return pa.RecordBatch.from_arrays([u, pa.concat_arrays(v) if v else pa.array([], pa.int64())], ["u", "v"])
 
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            fps = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            if not len(keys):
+            if not batch.num_rows:
                 continue
+            keys, ids, *words = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            prints = np.stack([w.view(np.uint64) for w in words], axis=1)
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            ends = np.r_[starts[1:], len(keys)]
-            pairs, singles = [], []
-            # lists of one member inside the batch hold nothing; the first and last may go on
+            ends, out = np.r_[starts[1:], len(keys)], []
+            # lists of one member inside a batch have no links; the first and the last may go on
             for i in np.flatnonzero((ends - starts > 1) | (starts == 0) | (ends == len(keys))):
                 a, b = starts[i], ends[i]
-                if keys[a] != key:
-                    if 1 < count <= most_listed:
-                        pairs.extend(links(np.concatenate(held)))
-                    key, held, count = keys[a], [], 0
+                if key is None or keys[a] != key:
+                    out += closed()
+                    key, held, count, first = keys[a], [], 0, ids[a]
                 count += b - a
-                held.append(fps[a:b])
+                held.append((ids[a:b], prints[a:b]))
                 if count > most_listed:
-                    singles.extend(held)
+                    out += [passed(h[0]) for h in held]
                     held = []
-            yield table(pairs, singles)
-        if 1 < count <= most_listed:
-            yield table(list(links(np.concatenate(held))), [])
+            yield table(out)
+        yield table(closed())
 
     return run
 
@@ -163,15 +171,18 @@ def choices(positions: int, width: int, shared: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
+def _linked(index: DataFrame, forest) -> DataFrame:
+    listed = index.repartition(shuffle_partitions(index.sparkSession), "key").sortWithinPartitions("key")
+    return cut(listed.mapInArrow(forest, "u long, v long").distinct())
+
+
 def links(fps: DataFrame, distance: int = 4, most_listed: int = MOST_LISTED) -> DataFrame:
     """Links (u, v) whose components are those of all pairs within `distance` bits among the distinct `fp`."""
     masks = F.array(*[F.lit(m).cast("long") for m in choices(8, 1, 8 - distance)])
     index = fps.select("fp", F.posexplode(masks).alias("i", "mask")).select(
-        F.xxhash64("i", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp"
+        F.xxhash64("i", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp", F.col("fp").alias("print")
     )
-    parts = shuffle_partitions(fps.sparkSession)
-    listed = index.repartition(parts, "key").sortWithinPartitions("key")
-    found = cut(listed.mapInArrow(_forest(distance, most_listed), "u long, v long").distinct())
+    found = _linked(index, _forest(distance, most_listed, "report"))
     out = found.where("v is not null")
     overfull = found.where("v is null").select(F.col("u").alias("fp"))
     if overfull.isEmpty():
@@ -225,3 +236,132 @@ def classes(prints: DataFrame, distance: int = 4, most_listed: int = MOST_LISTED
 
 def near_duplicates(docs: DataFrame, n_words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return classes(cut(fingerprints(docs, n_words, id_col, text_col)), distance)
+
+
+# --- near-duplicate texts: SimHash candidates, verified by their shingles ---
+
+WIDE_WORDS = 16  # 64-bit words of a wide fingerprint: 32 positions of four bytes
+CHECKED_WORDS, CHECKED_DISTANCE = 2, 28
+_MIX = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) for k in range(WIDE_WORDS)], dtype=np.uint64)
+
+
+def wide_simhash(text: str) -> np.ndarray:
+    """1,024 bits over the text's set of words, as 16 words of 64 bits."""
+    words = set(text.encode().lower().split())
+    if not words:
+        return np.zeros(WIDE_WORDS, dtype=np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    h = h[:, None] * _MIX + (_MIX ^ np.uint64(SEED))
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(32)
+    return majority_bits(h)
+
+
+def wide_index(docs: DataFrame, text_id: str, text_col: str) -> DataFrame:
+    """(tid, a, b, keys): per row the checked words of its wide fingerprint and its 32 positional values."""
+    place = np.arange(2 * WIDE_WORDS, dtype=np.int64) << 32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                prints = np.stack([wide_simhash(t or "") for t in part.column(1).to_pylist()])
+                keys = place + prints.view(np.uint32).astype(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel()))
+                a, b = (pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(CHECKED_WORDS))
+                yield pa.RecordBatch.from_arrays([part.column(0), a, b, lists], ["tid", "a", "b", "keys"])
+
+    return docs.select(text_id, text_col).mapInArrow(run, "tid long, a long, b long, keys array<long>")
+
+
+def _verify(n_words: int, similarity: float):
+    """mapInArrow over (root, lo, hi, tid, text) sorted by the first three: verified links (u, v) of each block pair."""
+
+    def block_links(tids: list[int], texts: list[str]):
+        tids, at = np.unique(np.array(tids, dtype=np.int64), return_index=True)
+        sets = [np.unique(np.array(shingle_hashes(texts[i], n_words), dtype=np.uint64)) for i in at]
+        sizes = np.array([len(x) for x in sets])
+        if len(sets) < 2:
+            return
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        owner, bounds = np.repeat(np.arange(len(sets)), sizes), np.r_[0, np.cumsum(sizes)]
+        rest = np.arange(len(sets))
+        held = np.zeros(codes.max(initial=0) + 1, dtype=bool)
+        while len(rest) > 1:
+            frontier, rest = [rest[0]], rest[1:]
+            while frontier and len(rest):
+                node = frontier.pop()
+                own = codes[bounds[node] : bounds[node + 1]]
+                held[own] = True
+                common = np.bincount(owner, held[codes], len(sets))[rest]
+                held[own] = False
+                union = sizes[rest] + sizes[node] - common
+                near = common >= similarity * union  # two texts without words are alike
+                if near.any():
+                    yield tids[node], tids[rest[near]]
+                    frontier.extend(rest[near])
+                    rest = rest[~near]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tids, texts = None, [], []
+
+        def closed() -> pa.RecordBatch:
+            found = list(block_links(tids, texts)) if len(tids) > 1 else []
+            u = np.concatenate([np.full(len(v), u, dtype=np.int64) for u, v in found] or [np.zeros(0, np.int64)])
+            v = np.concatenate([v for _, v in found] or [np.zeros(0, np.int64)])
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        for batch in batches:
+            for root, lo, hi, tid, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (root, lo, hi) != key:
+                    yield closed()
+                    key, tids, texts = (root, lo, hi), [], []
+                tids.append(tid)
+                texts.append(text)
+        yield closed()
+
+    return run
+
+
+def keep_one(docs: DataFrame, n_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
+             block: int = 512, most_listed: int = MOST_LISTED) -> DataFrame:
+    """The rows of `docs`, all columns, without near-duplicates: of each group the row with the smallest id stays.
+
+    Texts link if their sets of `n_words`-word shingles (A-Z lower-cased) have a
+    Jaccard similarity of at least `similarity`; groups are the components.
+    Candidates come from the byte-position index over wide fingerprints, of
+    whose 32 positions two texts must share at least one; pairs with most
+    shingles in common share many.  Candidate components are cut into blocks of
+    about `block` texts and verified block against block, so no task holds more
+    than two blocks and no pair is emitted that does not join a forest.
+    """
+    fixed = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
+    keyed = docs.withColumns({"__tid": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), "__id": fixed})
+    first = cut(keyed.groupBy("__tid").agg(F.min("__id").alias("first_id"), F.count("*").alias("rows")))
+    prints = wide_index(keyed, "__tid", text_col).groupBy("tid").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.min("keys").alias("keys"))
+    index = prints.select(F.explode("keys").alias("key"), "tid", "a", "b")
+    candidates = components(_linked(index, _forest(CHECKED_DISTANCE, most_listed, "chain")))
+    groups = cut(candidates.select("node", "root").unionByName(candidates.select(F.col("root").alias("node"), "root")).distinct())
+    # groups of more than a block number at most candidates / block
+    large = groups.groupBy("root").count().where(F.col("count") > block).select("root", F.ceil(F.col("count") / block).alias("k"))
+    members = groups.join(large, "root", "left").withColumn("k", F.coalesce("k", F.lit(1).cast("long")))
+    members = members.withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")))
+    members = members.join(first, members.node == first["__tid"]).select("root", "k", "i", "node", "first_id")
+    texts = keyed.join(members, (F.col("__id") == F.col("first_id")) & (F.col("__tid") == F.col("node"))).select("root", "k", "i", "node", F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    pairs = texts.select("root", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"), "node", "t").select(
+        "root", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "node", "t"
+    )
+    by = ["root", "lo", "hi"]
+    blocks = pairs.repartition(shuffle_partitions(docs.sparkSession), *by).sortWithinPartitions(*by)
+    verified = components(blocks.mapInArrow(_verify(n_words, similarity), "u long, v long"))
+    classed = first.join(verified, first["__tid"] == verified.node, "left").select("__tid", F.coalesce("root", "__tid").alias("class"), "first_id", "rows")
+    kept = cut(classed.groupBy("class").agg(F.min(F.struct("first_id", "__tid")).alias("one"), F.max("rows").alias("rows")))
+    stay = kept.select(F.col("one.first_id").alias("k_id"), F.col("one.__tid").alias("k_tid"))
+    out = keyed.join(stay, (F.col("__id") == F.col("k_id")) & (F.col("__tid") == F.col("k_tid")), "left_semi")
+    repeated = keyed.groupBy("__id", "__tid").count().where("count > 1")
+    if not repeated.isEmpty():
+        out = out.dropDuplicates(["__id", "__tid"])
+    return out.drop("__tid", "__id")
