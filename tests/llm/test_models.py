@@ -151,3 +151,14 @@ def test_lm_prefers_order(spark, sf_dir):
     pair = spark.createDataFrame([(0, "alpha beta gamma delta " * 20), (1, "delta beta alpha gamma gamma alpha delta beta " * 10)], "doc_id long, text string")
     s = {r.doc_id: r.log_likelihood for r in lm_scoring.score(pair, words, net).collect()}
     assert s[0] > s[1] + 10
+
+
+def test_lm_lookup_forgets_and_stays_right(monkeypatch):
+    monkeypatch.setattr(lm_scoring.Lookup, "ROOM", 5)
+    words = lm_scoring.Vocabulary({"a": (0, -0.1), "b": (1, -0.2)}, {"": -1.0, "x": -2.0}, -3.0, 2)
+    look = words.lookup()
+    for text in ["a b x xx xxx", "a y1 y2 y3 y4", " ".join(f"q{i}" for i in range(40)) + " b", "xx a"]:
+        kinds, log_p = look.tokens(text)
+        for w, k, p in zip(text.split(), kinds, log_p):
+            want = words.words.get(w, (2, -1.0 + sum(words.chars.get(c, -3.0) for c in w)))
+            assert (k, p) == (want[0], pytest.approx(want[1]))
