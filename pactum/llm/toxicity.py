@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_TOXIC, MOST_CLEAN, MOST_FEATURES = 1500, 3000, 4000
+MOST_TOXIC, MOST_CLEAN, MOST_FEATURES = 1000, 2000, 4000
 PREFIXES = (4, 5, 6)
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -109,16 +109,9 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None,
     if not len(y) or y.min() == y.max():
         return Model(bias=-5.0)
     sample = np.ones(len(y)) if weights is None else np.asarray(weights, dtype=float)
-    bags = [[_WORD.findall(m.group().lower()) for m in _SENTENCE.finditer(t)] or [[]] for t in texts]
-    known: dict[str, list[str]] = {}
-    for bag in bags:
-        for words in bag:
-            for w in words:
-                if w not in known:
-                    known[w] = features(w)
     seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for bag, label in zip(bags, labels):
-        seen[int(label)].update({f for words in bag for w in set(words) for f in known[w]})
+    for text, label in zip(texts, labels):
+        seen[int(label)].update({f for w in set(_WORD.findall(text.lower())) for f in features(w)})
     # two-proportion z score of each feature that enough documents have
     n0, n1 = float((y == 0).sum()), float((y == 1).sum())
     least = max(5, n1 / 50)
@@ -127,17 +120,21 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None,
     p = (c0 + c1) / (n0 + n1)
     z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n0 + 1 / n1))
     chosen = [names[i] for i in np.argsort(-np.abs(z), kind="stable")[:most_features]]
+    del seen, names
     place = {f: i for i, f in enumerate(chosen)}
-    at: dict[str, list[int]] = {w: [place[f] for f in fs if f in place] for w, fs in known.items()}
+    at: dict[str, list[int]] = {}
     doc_of, sentence, column, s = [], [], [], 0
-    for d, bag in enumerate(bags):
-        for words in bag:
+    for d, text in enumerate(texts):
+        for m in _SENTENCE.finditer(text):
+            for w in _WORD.findall(m.group().lower()):
+                if w not in at:
+                    at[w] = [place[f] for f in features(w) if f in place]
+                if at[w]:
+                    sentence += [s] * len(at[w])
+                    column += at[w]
             doc_of.append(d)
-            hits = [i for w in words for i in at[w]]
-            sentence += [s] * len(hits)
-            column += hits
             s += 1
-    doc_of, sentence, column = np.array(doc_of), np.array(sentence, dtype=np.int64), np.array(column, dtype=np.int64)
+    doc_of, sentence, column = (np.array(v, dtype=np.int32) for v in (doc_of, sentence, column))
     x, bias = np.zeros(len(chosen) + 1), -5.0
     x[-1] = -4.0  # log of the leak's hazard
     base = np.logaddexp(0, bias)
