@@ -33,6 +33,7 @@ from .common import WS, cut, let, words_of
 #: measure -> slack added to its adaptive threshold (in the measure's own unit)
 MEASURES = {"q_symbols": 30, "q_dup_lines": 300, "q_repeats": 150, "q_word_chars": 200, "q_upper": 250}
 SPREAD, MIN_GROUP = 6, 200
+MOST_BROADCAST = 20_000  # thresholds (groups of language and source)
 
 
 def _repeat_words(words: Column) -> Column:
@@ -172,14 +173,20 @@ def thresholds(sketch: DataFrame, spread: int = SPREAD, min_group: int = MIN_GRO
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-          spread: int = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
-    """All rows of `docs` with their measures, base_failed and kept."""
-    measured = measure(docs, text_col)
-    # the sketch is far smaller than the texts it comes from: cut here, so they are read twice, not thrice
+          spread: int = SPREAD, min_group: int = MIN_GROUP, with_text: bool = True) -> DataFrame:
+    """All rows of `docs` with their measures, base_failed and kept.
+
+    With the texts, measures are taken twice, for the sketches and for the join,
+    so that texts are neither stored nor shuffled; without them, once, and stored.
+    """
+    measured = measure(docs, text_col) if with_text else cut(measure(docs, text_col).drop(text_col))
     sketch = cut(sketches(measured, lang_col, source_col))
     limit = thresholds(sketch, spread, min_group).select(
         F.col("lang").alias("q_lang"), F.col("source").alias("q_source"), *[m.replace("q_", "q_max_") for m in MEASURES]
     )
+    limit = cut(limit)
+    if limit.count() <= MOST_BROADCAST:  # else the join is by key, and skewed groups are split at run time
+        limit = F.broadcast(limit)
     fits = F.lit(True)
     for m in MEASURES:
         fits = fits & F.coalesce(F.col(m) <= F.col(m.replace("q_", "q_max_")), F.lit(True))
