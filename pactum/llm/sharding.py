@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, shuffle_partitions
 
 FAN_BITS, KEY_BITS = 12, 64
 
@@ -103,7 +103,9 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     keyed = docs.withColumns({"__key": sort_key(id_col, text_col), "__size": size_of(F.col(text_col))})
     counted = cut(keyed.select("__key", "__size"))
-    plan, levels = histogram_rounds(counted, shards, tolerance, task_bytes)
+    total = counted.agg(F.coalesce(F.sum("__size"), F.lit(0))).first()[0]
+    # a group of equal texts is divided before it makes a task twice as long as others
+    plan, levels = histogram_rounds(counted, shards, tolerance, min(task_bytes, max(1, total // (2 * shuffle_partitions(spark)))))
     offsets, rows = [0] * shards, []
     for x, s in plan:
         rows.append((x.bits, _signed(x.prefix), s, offsets[s]))
