@@ -13,7 +13,7 @@ leak for the document combines them:
 A long document gains nothing from many plain sentences.  Training on document
 labels alone finds which sentences make a document toxic, and the fitted model
 points at them.  A sentence's features are its lower-cased words and their
-beginnings of 4, 5 and 6 letters.
+proper beginnings of 4 to 7 letters.
 
 The model is fitted on the driver, in numpy, on a bounded sample of labelled
 documents: at most `most_toxic` and `most_clean` of them (by a hash of the id,
@@ -45,8 +45,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_TOXIC, MOST_CLEAN, MOST_FEATURES = 1000, 2000, 4000
-PREFIXES = (4, 5, 6)
+MOST_TOXIC, MOST_CLEAN, MOST_FEATURES = 1500, 3000, 4000
+PREFIXES = (4, 5, 6, 7)
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -57,7 +57,7 @@ def held_out(id_col: Column) -> Column:
 
 
 def features(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n)]
+    return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
 
 
 @dataclass
