@@ -77,6 +77,13 @@ class Compiler:
                 out.append(self._fixed(f"{self.stem}.{c.name or c.type}", ",".join(c.fields) or "*", c.type, "ERROR", "compile error", c.rule_text, "CRITICAL", str(error)))
         return out
 
+    def _sound(self, pattern: str) -> str:
+        """The pattern, if the engine that will run it accepts it; else an error, here and not in a task."""
+        jvm = getattr(self.df.sparkSession, "_jvm", None)
+        if jvm is not None:
+            jvm.java.util.regex.Pattern.compile(pattern)
+        return pattern
+
     # --- one method per clause type ---
 
     def _clause(self, c: Clause) -> list[Check]:
@@ -136,6 +143,8 @@ class Compiler:
     def _accepted(self, c: Clause) -> list[Check]:
         if c.pattern is None and c.values is None:
             return []
+        if c.pattern is not None:
+            self._sound(c.pattern)
         out = []
         for name in c.fields:
             grain, v, kind = self._place(name)
@@ -169,7 +178,7 @@ class Compiler:
         return out
 
     def _regex(self, c, args, check_id, severity, name, grain, v, kind) -> Check:
-        return self._counted(check_id, name, "custom", c.rule_text, severity, grain, v.isNotNull() & ~full_match(as_text(v, kind), args[0]), "all match")
+        return self._counted(check_id, name, "custom", c.rule_text, severity, grain, v.isNotNull() & ~full_match(as_text(v, kind), self._sound(args[0])), "all match")
 
     def _bound(self, c, args, check_id, severity, name, grain, v, kind) -> Check:
         holds = F.coalesce(COMPARE[args[0]](number(v, kind), F.lit(float(args[1]))), F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 import subprocess
-from datetime import datetime
+from datetime import datetime, timezone
 from pathlib import Path
 
 import yaml
@@ -115,7 +115,7 @@ def stem_time(path: Path) -> datetime:
     try:
         return datetime.strptime(path.stem, "%Y%m%dT%H%M%SZ")
     except ValueError:
-        return datetime.utcfromtimestamp(path.stat().st_mtime)
+        return datetime.fromtimestamp(path.stat().st_mtime, timezone.utc).replace(tzinfo=None)
 
 
 def load_snapshots(spark: SparkSession, directory: str | Path, since: datetime | None = None) -> DataFrame:
@@ -207,7 +207,7 @@ def git_blame(spark: SparkSession, files: list[str], repo: str | Path, entries:
                 if line.startswith(key + " "):
                     commit.setdefault(key, line[len(key) + 1 :].strip("<>"))
         for i, (h, c) in enumerate(list(seen.items())[:entries], 1):
-            when = datetime.utcfromtimestamp(int(c.get("author-time", 0))).isoformat() + "+00:00"
+            when = datetime.fromtimestamp(int(c.get("author-time", 0)), timezone.utc).isoformat()
             rows.append((file, h, c.get("author-mail", "unknown"), when, c.get("summary", ""), i))
     return spark.createDataFrame(rows, COMMIT_SCHEMA)
 
