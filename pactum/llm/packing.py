@@ -73,7 +73,7 @@ class WordTokens:
     def _ids(self, text: str):
         import numpy as np
 
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.asarray(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")  # without offsets
 
     def _words(self, words: list[str]) -> list[bytes]:
         """The ids of each word: all are encoded as one text, and each ends at its token with a word end."""
