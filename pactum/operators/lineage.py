@@ -13,21 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.checkpoints import cut
 from ..sources.readers import COMMIT_SCHEMA
 
 MOST_CANDIDATES, LEAST_CANDIDATES, FLOOR = 5, 1, 0.05
 
 
-def _shared_cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's shared folder; a folder of its own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pactum-"))
-    return df.checkpoint()
-
-
 def _pick(df: DataFrame, struct: str, names: list[str]) -> Column:
     """The first non-null of a struct's fields, whichever exist."""
     kind = df.schema[struct].dataType
@@ -67,18 +58,18 @@ def downstream(edges: DataFrame, starts: DataFrame, max_hops: int | None = None)
 
 
 def _walk(steps: DataFrame, starts: DataFrame, max_hops: int | None) -> DataFrame:
-    steps = _shared_cut(steps.distinct())
+    steps = cut(steps.distinct())
     visited = starts.select("id", F.lit(0).alias("hops")).distinct()
     frontier, hop = visited, 0
     while max_hops is None or hop < max_hops:
         hop += 1
         reached = steps.join(frontier, steps["at"] == frontier.id).select(F.col("next").alias("id")).distinct()
-        frontier = _shared_cut(reached.join(visited, "id", "left_anti").withColumn("hops", F.lit(hop)))
+        frontier = cut(reached.join(visited, "id", "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
         if hop % 8 == 0:
-            visited = _shared_cut(visited)
+            visited = cut(visited)
     return visited.where("hops > 0")
 
 
