@@ -198,3 +198,14 @@ def attribute(results: DataFrame, records: DataFrame, registry: DataFrame, contr
             "blame_chain": chain.get(r.check_id, []), "blast_radius": radius[subscribers] | {"estimated_records": r.records_failing, "breaking_field_matched": any(m.matched for m in matches.get(r.column_name, []))},
         })
     return out
+
+
+def contract_lineage(records: DataFrame, dataset: str, hops: int = 3, most: int = 5) -> dict:
+    """A contract's surroundings: labels of up to five nodes above it, within three hops, and of up to five right below."""
+    nodes, edges = graph(records)
+    starts = dataset_nodes(nodes, dataset)
+
+    def labels(found: DataFrame) -> list[str]:
+        return [r.label for r in found.join(nodes, "id", "left").select("hops", F.coalesce("label", "id").alias("label")).orderBy("hops", "label").limit(most).collect()]
+
+    return {"upstream": labels(upstream(edges, starts, hops)), "downstream": labels(downstream(edges, starts, 1))}

@@ -650,3 +650,49 @@ def m07_fanout(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     records = e.select(F.col("event_id").alias("doc_id"), F.lit("model").alias("extraction_model"), F.lit(2000).alias("processing_time_ms"), (F.col("event_id") % 900 + 100).alias("input_tokens"), (F.col("event_id") % 90 + 10).alias("output_tokens"), F.col("ts").cast("timestamp").alias("started"))
     return etl.traces(records).where("run_type <> 'embedding'").groupBy("run_type").agg(F.count(F.lit(1)).alias("runs"), F.sum("total_tokens").alias("tokens"))
+
+
+# --- synthesis and snapshots ---
+
+
+@query("b01_synthesized", """SELECT * FROM (VALUES (0, 'not_null', ''), (1, 'unique', ''), (2, 'accepted_values', ''), (3, 'custom', 'created_at_not_future'), (4, 'custom', 'statistical_bounds_o_custkey'),
+ (5, 'custom', 'statistical_bounds_o_orderkey'), (6, 'custom', 'timestamp_iso8601_format'), (7, 'custom', 'minimum_record_count_7')) t(place, type, name)""")
+def b01_synthesized(spark, sf_dir):
+    from .plans.synth import clauses_for, profile_of
+
+    made = clauses_for(profile_of(table(spark, sf_dir, "orders"), "orders", "o_orderkey"))
+    return spark.createDataFrame([(i, c["type"], c.get("name", "")) for i, c in enumerate(made)], "place int, type string, name string")
+
+
+@query("b01_self_check", "SELECT 'unique' AS check_type, 'PASS' AS status, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'not_null', 'PASS', 3 UNION ALL SELECT 'accepted_values', 'PASS', 1 UNION ALL SELECT 'statistical', 'PASS', 2"
+       " UNION ALL SELECT 'custom', 'PASS', 3")
+def b01_self_check(spark, sf_dir):
+    """A contract made from customers holds on customers, but for outliers of its own statistics."""
+    from .plans.clauses import Contract
+    from .plans.synth import contract_for, profile_of
+
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    contract = Contract.from_dict(contract_for(profile_of(df, "customers", "c_custkey")), "customers")
+    return validate.validate(df, contract).groupBy("check_type", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("w04_consecutive", "SELECT * FROM (VALUES ('s|2026-01-02 00:00:00', 'b', 'REMOVE_COLUMN'), ('s|2026-01-03 00:00:00', 'c', 'ADD_NULLABLE_COLUMN')) t(pair, field, change_type)")
+def w04_consecutive(spark, sf_dir):
+    days = {1: ["a", "b"], 2: ["a"], 3: ["a", "c"]}
+    rows = [("s", f"2026-01-0{d} 00:00:00", f, "string", f != "c", f == "c", None) for d, fields in days.items() for f in fields]
+    given = spark.createDataFrame(rows, "stem string, at string, field string, type string, required boolean, nullable boolean, enum_values array<string>")
+    return evolve.diff(*evolve.consecutive(given.withColumn("taken", F.col("at").cast("timestamp_ntz")))).select("pair", "field", "change_type")
+
+
+@query("g03_contract_lineage", "SELECT * FROM (VALUES ('up', ['b', 'a', 'z']), ('down', ['dashboard'])) t(side, labels)")
+def g03_contract_lineage(spark, sf_dir):
+    flat = spark.createDataFrame([("y", "z"), ("z", "a"), ("a", "b"), ("b", "orders"), ("orders", "dashboard"), ("dashboard", "readers")], "source string, target string")
+    found = lineage.contract_lineage(flat, "week1_orders")
+    return spark.createDataFrame([("up", found["upstream"]), ("down", found["downstream"])], "side string, labels array<string>")
+
+
+@query("ai03_tfidf")
+def ai03_tfidf(spark, sf_dir):
+    """Mean TF-IDF vector of all documents over a vocabulary fitted on all of them (no SQL counterpart; see the tests)."""
+    vectors, _ = ai.tfidf(table(spark, sf_dir, "documents").select("text"))
+    return ai.centroid(vectors)
