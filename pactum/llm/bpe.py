@@ -33,6 +33,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 MULTILINGUAL = "byte_bpe_multi_50k.tiktoken"
 LEAF_CHARS, LEAF_IDS = 1024, 4096
 
@@ -109,7 +111,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ranks_path: str | None = None) -> DataFrame:
@@ -125,4 +127,4 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ran
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], [id_col, "ids", "decoded"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, F.col(ids_col).alias("ids")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
+    return map_arrow(encoded.select(id_col, F.col(ids_col).alias("ids")), run, f"`{id_col}` {kind}, ids array<int>, decoded binary")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ WS = " \t\n\x0b\x0c\r"
 WS_RUN = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LAST_ID = (1 << 63) - 1
+_ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -40,6 +43,15 @@ def text_crc32(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """`mapInArrow`, with this package on the path of Python workers even if the session was started elsewhere."""
+    environment = df.sparkSession.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _ROOT not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *known])
+    return df.mapInArrow(run, schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

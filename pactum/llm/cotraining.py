@@ -41,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
 from .toxicity import held_out
 
 MOST_LABELLED, MOST_POOLED, ROUNDS = 4000, 4000, 5
@@ -176,7 +177,7 @@ def measured(docs: DataFrame, weights: np.ndarray | None, id_col: str, text_col:
                 yield pa.RecordBatch.from_arrays(columns, ["id", "lang", "source", "n_chars", "n_lines", "text_logit", "view"])
 
     schema = f"id {kind}, lang string, source string, n_chars long, n_lines long, text_logit double, view array<float>"
-    return docs.select(id_col, lang_col, source_col, text_col).mapInArrow(run, schema)
+    return map_arrow(docs.select(id_col, lang_col, source_col, text_col), run, schema)
 
 
 def _with_pages(rows: DataFrame, pages: DataFrame, page_id: str, url_col: str) -> DataFrame:
@@ -226,4 +227,4 @@ def score(docs: DataFrame, pages: DataFrame, model: Model, id_col: str = "doc_id
                 scores = model.scores(text_logit, page)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(6), pa.array(scores, pa.float64())], [id_col, "text_logit", "score"])
 
-    return joined.mapInArrow(run, f"`{id_col}` {kind}, text_logit double, score double")
+    return map_arrow(joined, run, f"`{id_col}` {kind}, text_logit double, score double")

@@ -32,6 +32,8 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import map_arrow
+
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 TIERS = (2048, 1024, 512, 256)
 SHORTEST, STEP_TOKENS = 64, 16 * 2048
@@ -228,4 +230,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
             packer.pack(last=True)
             yield out(id_type)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")
+    return map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, {SCHEMA}")

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, cut, shuffle_partitions
+from .common import LAST_ID, cut, map_arrow, shuffle_partitions
 
 SEED, BITS, MOST_LISTED = 42, 64, 1 << 15
 _LANES = np.uint64(0x0101010101010101)
@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, n_words: int = 4, id_col: str = "doc_id", text
                 fps = np.array([simhash(t or "", n_words) for t in part.column(1).to_pylist()], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, fp long")
+    return map_arrow(docs.select(id_col, text_col), run, f"id {kind}, fp long")
 
 
 def sweep(ids: np.ndarray, prints: np.ndarray, distance: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -173,7 +173,7 @@ def choices(positions: int, width: int, shared: int) -> list[int]:
 
 def _linked(index: DataFrame, forest) -> DataFrame:
     listed = index.repartition(shuffle_partitions(index.sparkSession), "key").sortWithinPartitions("key")
-    return cut(listed.mapInArrow(forest, "u long, v long").distinct())
+    return cut(map_arrow(listed, forest, "u long, v long").distinct())
 
 
 def links(fps: DataFrame, distance: int = 4, most_listed: int = MOST_LISTED) -> DataFrame:
@@ -274,7 +274,7 @@ def wide_index(docs: DataFrame, text_id: str, text_col: str) -> DataFrame:
                 a, b = (pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(CHECKED_WORDS))
                 yield pa.RecordBatch.from_arrays([part.column(0), a, b, lists], ["tid", "a", "b", "keys"])
 
-    return docs.select(text_id, text_col).mapInArrow(run, "tid long, a long, b long, keys array<long>")
+    return map_arrow(docs.select(text_id, text_col), run, "tid long, a long, b long, keys array<long>")
 
 
 def _verify(n_words: int, similarity: float):
@@ -356,7 +356,7 @@ def keep_one(docs: DataFrame, n_words: int = 5, similarity: float = 0.8, id_col:
     )
     by = ["root", "lo", "hi"]
     blocks = pairs.repartition(shuffle_partitions(docs.sparkSession), *by).sortWithinPartitions(*by)
-    verified = components(blocks.mapInArrow(_verify(n_words, similarity), "u long, v long"))
+    verified = components(map_arrow(blocks, _verify(n_words, similarity), "u long, v long"))
     classed = first.join(verified, first["__tid"] == verified.node, "left").select("__tid", F.coalesce("root", "__tid").alias("class"), "first_id", "rows")
     kept = cut(classed.groupBy("class").agg(F.min(F.struct("first_id", "__tid")).alias("one"), F.max("rows").alias("rows")))
     stay = kept.select(F.col("one.first_id").alias("k_id"), F.col("one.__tid").alias("k_tid"))

@@ -45,6 +45,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 MOST_TOXIC, MOST_CLEAN, MOST_FEATURES = 1500, 3000, 4000
 PREFIXES = (4, 5, 6, 7)
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -200,7 +202,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "score", "offending"])
 
     out = f"`{id_col}` {kind}, score double, offending array<struct<start:int,end:int,score:double>>"
-    return docs.select(id_col, text_col).mapInArrow(run, out)
+    return map_arrow(docs.select(id_col, text_col), run, out)
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -218,4 +220,4 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
                 keep = [scorer.score(t or "")[0] < threshold for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
