@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import WS, cut, let, words_of
 
 #: measure -> slack added to its adaptive threshold (in the measure's own unit)
-MEASURES = {"q_symbols": 30, "q_dup_lines": 300, "q_repeats": 150, "q_word_chars": 200, "q_upper": 250}
+MEASURES = {"q_symbols": 30, "q_dup_lines": 500, "q_repeats": 350, "q_word_chars": 200, "q_upper": 250}
 SPREAD, MIN_GROUP = 6, 200
 MOST_BROADCAST = 20_000  # thresholds (groups of language and source)
 
