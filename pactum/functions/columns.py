@@ -60,6 +60,11 @@ def as_text(value: Column, kind: T.DataType) -> Column:
     return F.to_json(value) if nested else value.cast("string")
 
 
+def value_hash(value: Column) -> list[Column]:
+    """128 bits of hash as two columns, h1 and h2; both null for null."""
+    return [F.when(value.isNotNull(), F.xxhash64(value)).alias("h1"), F.when(value.isNotNull(), F.xxhash64(F.lit(2), value)).alias("h2")]
+
+
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 

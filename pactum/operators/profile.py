@@ -1,8 +1,9 @@
 """Profiles: structure, numbers, character patterns and confidence flags, one long table each.
 
 All columns are measured in a few fused aggregates.  Exact distinct counts are
-pre-aggregated per value over the unpivoted columns, so they cost one shuffle
-whatever the number of columns; `approximate` swaps them for sketches.
+pre-aggregated per value hash over the unpivoted columns, so they cost one
+shuffle of a few bytes a value whatever the number of columns and the length of
+values; `approximate` swaps them for sketches.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import as_text, char_pattern, column, flatten_once, full_match, number
+from ..functions.columns import as_text, char_pattern, column, flatten_once, full_match, number, value_hash
 
 UUID = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 CHUNK = 64  # columns of one numeric aggregate
@@ -56,17 +57,24 @@ def structural(df: DataFrame, order: str | None = None, drop_prefix: str = "_sou
     kinds = {f.name: f.dataType for f in flat.schema}
     ordinal = column(order).cast("long") if order else F.monotonically_increasing_id()
     values = _long(flat, columns, ordinal)
+    hashed = values.select("column", "ordinal", *value_hash(F.col("v")))
+    counts = hashed.groupBy("column", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("at"))
     if approximate:
-        base = values.groupBy("column").agg(
-            F.count(F.lit(1)).alias("total_count"), F.count_if(F.col("v").isNull()).alias("null_count"), F.approx_count_distinct("v").alias("cardinality")
+        base = hashed.groupBy("column").agg(
+            F.count(F.lit(1)).alias("total_count"), F.count_if(F.col("h1").isNull()).alias("null_count"), F.approx_count_distinct("h1").alias("cardinality")
         )
     else:
-        counts = values.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
-        base = counts.groupBy("column").agg(F.sum("n").alias("total_count"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("null_count"), F.count("v").alias("cardinality"))
-    # heads: the first values of each column are few; each task keeps its own first ones before the exchange
-    seen = values.where("v is not null").groupBy("column", "v").agg(F.min("ordinal").alias("at"))
-    firsts = seen.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy("at", "v"))).where("r <= 5")
-    samples = firsts.groupBy("column").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("sample_values"))
+        base = counts.groupBy("column").agg(F.sum("n").alias("total_count"), F.coalesce(F.sum(F.when(F.col("h1").isNull(), F.col("n"))), F.lit(0)).alias("null_count"), F.count("h1").alias("cardinality"))
+    # the places of each column's first five distinct values are few; only the values there are fetched
+    by_place = Window.partitionBy("column").orderBy("at", "h1")
+    places = counts.where("h1 is not null").withColumn("r", F.row_number().over(by_place)).where("r <= 5").select("column", "at", "h1", "r")
+    fetched = values.where("v is not null").withColumn("h", F.xxhash64("v")).join(
+        F.broadcast(places.withColumnRenamed("column", "c")), (F.col("column") == F.col("c")) & (F.col("ordinal") == F.col("at")) & (F.col("h") == F.col("h1"))
+    )  # at most five rows a column are broadcast
+    firsts = fetched.groupBy("column", "r").agg(F.min("v").alias("v"))
+    samples = firsts.groupBy("column").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("r", "v"))), lambda x: x["v"]).alias("sample_values"), F.min_by("v", "r").alias("first_value")
+    )
     strings = [c for c in columns if isinstance(kinds[c], T.StringType)]
     head = Window.partitionBy("column").orderBy("ordinal", "v")
     heads = _long(flat, strings, ordinal).where("v is not null").withColumn("r", F.row_number().over(head)).where("r <= 50") if strings else None
@@ -75,8 +83,7 @@ def structural(df: DataFrame, order: str | None = None, drop_prefix: str = "_sou
     if heads is not None:
         classed = heads.withColumn("p", char_pattern(F.col("v"))).groupBy("column", "p").agg(F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("at"))
         patterns = classed.groupBy("column").agg(F.max_by("p", F.struct("n", -F.col("at"))).alias("char_pattern"))
-        types = seen.groupBy("column").agg(F.min_by("v", "at").alias("first_value"))
-        out = out.join(patterns, "column", "left").join(types, "column", "left")
+        out = out.join(patterns, "column", "left")
         kind = F.when(known[F.col("column")] == "string", F.coalesce(text_type(F.col("first_value")), F.lit("string"))).otherwise(known[F.col("column")])
     else:
         out, kind = out.withColumn("char_pattern", F.lit(None).cast("string")), known[F.col("column")]

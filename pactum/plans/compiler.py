@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import COMPARE, as_text, column, comparison, full_match, moment, number
+from ..functions.columns import COMPARE, as_text, column, comparison, full_match, moment, number, value_hash
 from .clauses import Clause
 
 RESULT_SCHEMA = T.StructType(
@@ -304,7 +304,8 @@ def _source(df: DataFrame, grain: tuple, kinds: dict, checks: list[Check]) -> Da
         items = df.select(F.explode(column(grain[1])).alias("item")).where("item is not null")
         return items.agg(F.count(F.lit(1)).alias("rows"), *named)
     if grain[0] == "distinct":
-        counts = df.select(as_text(column(grain[1]), kinds[grain[1]]).alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        # 128 bits of hash stand for a value, so long values are not shuffled
+        counts = df.select(*value_hash(as_text(column(grain[1]), kinds[grain[1]]))).where("h1 is not null").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
         return counts.agg(*[x for i in range(len(checks)) for x in (
             F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias(f"m{i}_dup"), F.count(F.lit(1)).alias(f"m{i}_kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias(f"m{i}_n"))])
     if grain[0] == "sequence":
