@@ -17,8 +17,8 @@ Defined results
 * A null id sorts after all others.
 * Repeated rows of one id and text get the same bitmap; occurrences inside the
   smallest document all stay.
-* Other columns, whatever their names, pass through `apply_bitmaps` untouched,
-  except `__`-prefixed ones, which this module reserves.
+* Other columns pass through `apply_bitmaps` untouched, but a given kept_text,
+  n_lines or n_dropped is replaced; `__`-prefixed names are reserved.
 * Empty tables give empty results.
 """
 

@@ -19,7 +19,8 @@ Defined results
   of their words in repeated three-word windows, fail the base rule.
 * Null languages and sources form groups of their own.
 * Repeated rows are judged, and counted in sketches, one by one.
-* Extra columns pass through; names that start with `q_` are reserved.
+* Extra columns pass through, but given columns of the results' names are
+  replaced; names that start with `q_` are reserved.
 * Empty tables give empty results.
 """
 

@@ -20,7 +20,8 @@ Defined results
   texts is divided wherever a splitter needs it.
 * Shards can be empty if there are fewer rows than shards; an empty table gives
   an empty result.
-* All columns pass through; `__`-prefixed names are reserved.
+* All columns pass through, but a given size, shard or slot is replaced;
+  `__`-prefixed names are reserved.
 """
 
 from __future__ import annotations

@@ -27,7 +27,8 @@ Defined results
   appear once per row, in their component.
 * Null ids are linked but never name a component unless it has no other id.
 * Columns other than id and text are not carried by `fingerprints`, so their
-  names cannot clash; empty tables give empty results.
+  names cannot clash; `keep_one` carries all, and reserves `__`-prefixed names.
+* Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -350,7 +351,8 @@ def keep_one(docs: DataFrame, n_words: int = 5, similarity: float = 0.8, id_col:
     members = groups.join(large, "root", "left").withColumn("k", F.coalesce("k", F.lit(1).cast("long")))
     members = members.withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")))
     members = members.join(first, members.node == first["__tid"]).select("root", "k", "i", "node", "first_id")
-    texts = keyed.join(members, (F.col("__id") == F.col("first_id")) & (F.col("__tid") == F.col("node"))).select("root", "k", "i", "node", F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    whole = keyed.select("__id", "__tid", F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    texts = whole.join(members, (F.col("__id") == F.col("first_id")) & (F.col("__tid") == F.col("node"))).select("root", "k", "i", "node", "t")
     pairs = texts.select("root", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"), "node", "t").select(
         "root", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "node", "t"
     )
@@ -359,8 +361,8 @@ def keep_one(docs: DataFrame, n_words: int = 5, similarity: float = 0.8, id_col:
     verified = components(map_arrow(blocks, _verify(n_words, similarity), "u long, v long"))
     classed = first.join(verified, first["__tid"] == verified.node, "left").select("__tid", F.coalesce("root", "__tid").alias("class"), "first_id", "rows")
     kept = cut(classed.groupBy("class").agg(F.min(F.struct("first_id", "__tid")).alias("one"), F.max("rows").alias("rows")))
-    stay = kept.select(F.col("one.first_id").alias("k_id"), F.col("one.__tid").alias("k_tid"))
-    out = keyed.join(stay, (F.col("__id") == F.col("k_id")) & (F.col("__tid") == F.col("k_tid")), "left_semi")
+    stay = kept.select(F.col("one.first_id").alias("__id"), F.col("one.__tid").alias("__tid"))
+    out = keyed.join(stay, ["__id", "__tid"], "left_semi").select(*keyed.columns)
     repeated = keyed.groupBy("__id", "__tid").count().where("count > 1")
     if not repeated.isEmpty():
         out = out.dropDuplicates(["__id", "__tid"])
