@@ -11,13 +11,13 @@ LEAST_VALUES, WARN_Z, FAIL_Z = 5, 2.0, 3.0
 STATISTICS = ("mean", "stddev", "min", "max", "p25", "p50", "p75", "p95")
 
 
-def statistics(df: DataFrame, dataset: str, columns: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+def statistics(df: DataFrame, dataset: str, columns: list[str] | None = None, by: list[str] | None = None, approximate: bool = False) -> DataFrame:
     """(dataset, column, mean, stddev, min, max, percentiles, count); columns with under five values are left out.
 
     Item paths such as `facts[*].confidence` can be named in `columns`, so scale
     faults inside arrays are seen too.  The deviation is the sample one.
     """
-    stats = numeric(df, columns, by).where(F.col("count") >= LEAST_VALUES)
+    stats = numeric(df, columns, by, approximate).where(F.col("count") >= LEAST_VALUES)
     return stats.select(F.lit(dataset).alias("dataset"), *(by or []), "column", "mean", F.col("stddev_samp").alias("stddev"), "min", "max", "p25", "p50", "p75", "p95", "count")
 
 

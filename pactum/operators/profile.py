@@ -96,9 +96,12 @@ def numeric_columns(flat: DataFrame, with_boolean: bool = False) -> list[str]:
     return sorted(f.name for f in flat.schema if isinstance(f.dataType, kinds))
 
 
-def numeric(df: DataFrame, columns: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+def numeric(df: DataFrame, columns: list[str] | None = None, by: list[str] | None = None, approximate: bool = False) -> DataFrame:
     """(by ..., column, count, min, max, mean, p25, p50, p75, p95, p99, stddev_pop, stddev_samp), percentiles interpolated.
 
+    Exact percentiles keep a count of every different value of a column and group
+    in memory; `approximate` takes mergeable sketches of bounded size instead
+    (rank error 1/10,000), for columns of very many different values.
     One aggregate per CHUNK columns; item paths `array[*].leaf` are profiled over their items.
     """
     flat = flatten_once(df)
@@ -108,13 +111,13 @@ def numeric(df: DataFrame, columns: list[str] | None = None, by: list[str] | Non
     rows = [c for c in columns if "[*]." not in c]
     for at in range(0, len(rows), CHUNK):
         chunk = rows[at : at + CHUNK]
-        wide = flat.groupBy(*by).agg(*[_statistics(number(column(c))).alias(f"s{i}") for i, c in enumerate(chunk)])
+        wide = flat.groupBy(*by).agg(*[_statistics(number(column(c)), approximate).alias(f"s{i}") for i, c in enumerate(chunk)])
         parts.append(wide.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"s{i}").alias("s")) for i, c in enumerate(chunk)]))))
     for c in columns:
         if "[*]." in c:
             array, leaf = c.split("[*].", 1)
             items = df.select(*by, F.explode(column(array)).alias("item"))
-            parts.append(items.groupBy(*by).agg(_statistics(number(F.col("item")[leaf])).alias("s")).select(*by, F.lit(c).alias("column"), "s"))
+            parts.append(items.groupBy(*by).agg(_statistics(number(F.col("item")[leaf]), approximate).alias("s")).select(*by, F.lit(c).alias("column"), "s"))
     if not parts:
         return df.sparkSession.createDataFrame([], "column string, count long, min double, max double, mean double, p25 double, p50 double, p75 double, p95 double, p99 double, stddev_pop double, stddev_samp double")
     out = parts[0]
@@ -123,8 +126,9 @@ def numeric(df: DataFrame, columns: list[str] | None = None, by: list[str] | Non
     return out.select(*by, "column", "s.*")
 
 
-def _statistics(x: Column) -> Column:
-    q = F.percentile(x, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75, 0.95, 0.99)]))
+def _statistics(x: Column, approximate: bool) -> Column:
+    shares = [0.25, 0.5, 0.75, 0.95, 0.99]
+    q = F.percentile_approx(x, shares, 10_000) if approximate else F.percentile(x, F.array(*map(F.lit, shares)))
     return F.struct(
         F.count(x).alias("count"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"),
         *[q[i].alias(n) for i, n in enumerate(("p25", "p50", "p75", "p95", "p99"))],

@@ -95,6 +95,7 @@ def test_profiles(spark):
     assert rough["s"] == 3
     n = {r["column"]: r for r in profile.numeric(df).collect()}
     assert (n["v"]["p25"], n["v"]["p50"], n["v"]["stddev_pop"], round(n["v"]["stddev_samp"], 4)) == (1.0, 2.0, pytest.approx(2**0.5), 1.5811)
+    assert profile.numeric(df, approximate=True).where("column = 'v'").first()["p50"] == 2.0
     one = profile.numeric(df.where("o = 0")).where("column = 'v'").first()
     assert one["stddev_samp"] == 0.0
 
