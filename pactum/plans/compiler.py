@@ -129,9 +129,8 @@ class Compiler:
     def _unique(self, c: Clause) -> list[Check]:
         out = []
         for name in c.fields:
-            grain, v, kind = self._place(name)
             check_id = f"{self.stem}.{name}.unique"
-            if v is None:
+            if name not in self.kinds:
                 out.append(self._missing(check_id, name, "unique", "UNIQUE", "CRITICAL"))
                 continue
             actual = lambda m: F.when(m("dup") == 0, F.concat(m("kinds").cast("string"), F.lit(" distinct / "), m("n").cast("string"), F.lit(" records"))).otherwise(

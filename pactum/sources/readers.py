@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from ..functions.columns import column
 from ..plans.clauses import Contract
 
-ORDINAL = "__ordinal"
-
 
 def json_lines(spark: SparkSession, path: str, schema: str | None = None, recursive: bool = False, missing_ok: bool = True) -> DataFrame:
     """One row per well-formed line; blank and malformed lines are skipped.
