@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import hash_sample, map_arrow
 from .toxicity import held_out
 
 MOST_LABELLED, MOST_POOLED, ROUNDS = 4000, 4000, 5
@@ -192,10 +192,11 @@ def train(docs: DataFrame, labels: DataFrame, pages: DataFrame, id_col: str = "d
     ids = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("i"))
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("j")).agg(F.min(label_col).cast("int").alias("y"))
     joined = ids.join(marks, ids.i == marks.j, "left").select("i", "y")
-    order = F.xxhash64("i")
+    counts = {r.known: r["count"] for r in joined.groupBy(F.col("y").isNotNull().alias("known")).count().collect()}
     picked = {}
-    for wanted, n in ((F.col("y").isNotNull(), most_labelled), (F.col("y").isNull(), most_pooled)):
-        picked |= {r.i: r.y for r in joined.where(wanted).orderBy(order, "i").limit(n).collect()}
+    for known, n in ((True, most_labelled), (False, most_pooled)):
+        if known in counts:
+            picked |= {r.i: r.y for r in hash_sample(joined.where(F.col("y").isNotNull() == known), "i", n, counts[known])}
     if not picked:
         return co_train(*[np.zeros((0, N_TEXT)), np.zeros((0, SLOTS)), np.zeros(0)], np.zeros((0, N_TEXT)), np.zeros((0, SLOTS)), np.zeros(0, bool))
     # at most most_labelled + most_pooled ids and their features

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import hash_sample, map_arrow
 
 MOST_TOXIC, MOST_CLEAN, MOST_FEATURES = 1500, 3000, 4000
 PREFIXES = (4, 5, 6, 7)
@@ -170,9 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .join(docs.select(F.col(id_col).cast("long").alias("id")), "id", "left_semi")
     )
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
-    order = F.xxhash64("id")
-    parts = [known.where(F.col("y") == y).orderBy(order, "id").limit(n) for y, n in ((1, most_toxic), (0, most_clean))]
-    picked = [(r.id, r.y) for part in parts for r in part.collect()]
+    classes = ((1, most_toxic), (0, most_clean))
+    picked = [(r.id, r.y) for y, n in classes if y in counts for r in hash_sample(known.where(F.col("y") == y), "id", n, counts[y])]
     if not picked:
         return fit([], [])
     ids = docs.sparkSession.createDataFrame(picked, "id long, y int")  # at most most_toxic + most_clean rows

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pactum.llm import cotraining, lm_scoring, toxicity
+from pactum.llm.common import hash_sample
 from pactum.llm.queries import QUERIES
 
 from .cases import awkward, empty, read
@@ -162,3 +163,10 @@ def test_lm_lookup_spells_rare_words():
     for w, k, p in zip(flat, kinds, log_p, strict=True):
         want = words.words.get(w, (2, -1.0 + sum(words.chars.get(c, -3.0) for c in w)))
         assert (k, p) == (want[0], pytest.approx(want[1]))
+
+
+def test_hash_sample_is_the_start_of_one_order(spark):
+    df = spark.range(3000).select(F.col("id").alias("k"))
+    whole = [r.k for r in hash_sample(df, "k", 3000, 3000)]
+    assert sorted(whole) == list(range(3000)) and [r.k for r in hash_sample(df, "k", 40, 3000)] == whole[:40]
+    assert [r.k for r in hash_sample(df, "k", 40, 10**9)] == whole[:40]  # a wrong total costs a second pass only
