@@ -113,6 +113,21 @@ def test_near_duplicates_of_a_large_group(spark, block, most_listed):
     assert sorted(r["doc_id"] for r in rows(got)) == sorted(set(roots.values()))
 
 
+@pytest.mark.parametrize("way", ["appended", "replaced"])
+def test_near_duplicates_with_another_passage(spark, sf_dir, way):
+    """Pairs at 0.8 to 0.9 that differ in one block: the whole table's prose, each text with a passage of the next."""
+    texts = [d["text"].split() for d in rows(spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 600").orderBy("doc_id").limit(160))]
+    docs = []
+    for i, (own, other) in enumerate(zip(texts, texts[1:])):
+        n = int(len(own) * (0.11 + 0.1 * (i % 10) / 10) / (1 if way == "appended" else 2))
+        near = (own if way == "appended" else own[: len(own) - n]) + other[:n]
+        docs += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(near))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    roots = brute_groups(rows(frame))
+    assert sum(roots[2 * i] == roots[2 * i + 1] for i in range(len(texts) - 1)) > 100
+    assert sorted(r["doc_id"] for r in rows(simhash.keep_one(frame))) == sorted(set(roots.values()))
+
+
 def test_near_duplicates_awkward(spark):
     docs = awkward(spark, extra=True)
     got = rows(simhash.keep_one(docs))
