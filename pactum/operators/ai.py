@@ -35,19 +35,22 @@ def embedding_drift(current: DataFrame, baseline: DataFrame | None, warn: float
 def tfidf(texts: DataFrame, text_col: str = "text", features: int = 512, model=None):
     """(vectors, model): sublinear TF-IDF as arrays.  Passing a stored model keeps its vocabulary, so centroids stay comparable."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer, SQLTransformer
+    from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
 
     if model is None:
         model = Pipeline(stages=[
             RegexTokenizer(inputCol=text_col, outputCol="__words", pattern=r"\W+", minTokenLength=2),
             CountVectorizer(inputCol="__words", outputCol="__counts", vocabSize=features),
-            SQLTransformer(statement="SELECT * FROM __THIS__"),
             IDF(inputCol="__counts", outputCol="__idf"),
-            Normalizer(inputCol="__idf", outputCol="__unit"),
         ]).fit(texts)
-    counted = model.transform(texts)
-    return counted.select("*", vector_to_array("__unit").alias("embedding")).drop("__words", "__counts", "__idf", "__unit"), model
+    # the model weighs raw counts c; document frequencies, and so the weights, are the same for 1 + ln(c)
+    counted = model.transform(texts).withColumns({"__c": vector_to_array("__counts"), "__w": vector_to_array("__idf")})
+    damped = F.zip_with("__w", "__c", lambda w, c: F.when(c > 0, w / c * (1 + F.log(c))).otherwise(F.lit(0.0)))
+    # arrays of one hold the vector and its length as lambda variables, so that neither is computed again for each feature
+    length = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda total, v: total + v * v))
+    unit = F.transform(F.array(damped), lambda x: F.transform(F.array(length(x)), lambda n: F.transform(x, lambda v: F.when(n > 0, v / n).otherwise(F.lit(0.0))))[0])[0]
+    return counted.withColumn("embedding", unit).drop("__words", "__counts", "__idf", "__c", "__w"), model
 
 
 def fact_texts(extractions: DataFrame, facts_col: str = "extracted_facts", most: int | None = None, order: str | None = None) -> DataFrame:

@@ -1,7 +1,10 @@
 """Profiles, synthesis, drift, evolution, lineage, AI checks, reports, sources and streams."""
 
 import json
+import math
+import re
 import uuid
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -237,6 +240,25 @@ def test_ai(spark):
     assert tuple(row) == ("WARN", "SKIPPED")
 
 
+def test_tfidf_is_sublinear(spark, sf_dir):
+    """The vectors of ai03_tfidf's operator, and its mean, against brute force over the model's vocabulary."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(150).cache()
+    vectors, model = ai.tfidf(docs)
+    words = model.stages[1].vocabulary
+    counts = {r.doc_id: Counter(re.split(r"\W+", r.text.lower(), flags=re.ASCII)) for r in docs.collect()}
+    weights = [math.log((len(counts) + 1) / (sum(w in c for c in counts.values()) + 1)) for w in words]
+    want = {}
+    for i, c in counts.items():
+        x = [(1 + math.log(c[w])) * weight if c[w] else 0.0 for w, weight in zip(words, weights)]
+        norm = math.sqrt(sum(v * v for v in x))
+        want[i] = [v / norm if norm else 0.0 for v in x]
+    got = {r.doc_id: r.embedding for r in vectors.collect()}
+    assert vectors.columns == ["doc_id", "text", "embedding"] and got.keys() == want.keys() and any(n > 1 for c in counts.values() for n in c.values())
+    assert all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+    mean = [sum(v) / len(want) for v in zip(*want.values())]
+    assert ai.centroid(vectors).first()["centroid"] == pytest.approx(mean, abs=1e-9)
+
+
 def test_quarantine_sink(spark, tmp_path):
     checked = ai.validate_schema(spark.createDataFrame([("a",), (None,)], "x string"), {"required": ["x"]})
     writers.write_quarantine(checked, str(tmp_path / "q"))
