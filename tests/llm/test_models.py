@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,6 +155,19 @@ def test_lm_prefers_order(spark, sf_dir):
     assert s[0] > s[1] + 10
 
 
+def test_lm_trains_on_every_token(spark, monkeypatch):
+    """In each round of the settings in use every token is a target, in texts of any length."""
+    seen = []
+    monkeypatch.setattr(lm_scoring.Network, "step", lambda self, context, target, *_: seen.append(target.copy()))
+    monkeypatch.setattr(lm_scoring, "map_arrow", lambda df, run, schema: spark.createDataFrame(pa.Table.from_batches(run(iter(df.toArrow().to_batches())))))
+    monkeypatch.setattr(lm_scoring, "cut", lambda df: df)
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in (0, 1, 2, 3, 7, 8, 9, 30)]
+    words = lm_scoring.Vocabulary({f"w{k}": (k, 0.0) for k in range(30)}, {"": 0.0}, 0.0, 30)
+    lm_scoring.train(spark.createDataFrame([(t,) for t in texts], "text string"), words, classes=31, hidden=2)
+    want = Counter(int(w[1:]) for t in texts for w in t.split())
+    assert Counter(np.concatenate(seen).tolist()) == Counter({k: n * lm_scoring.ROUNDS for k, n in want.items()})
+
+
 def test_lm_lookup_spells_rare_words():
     words = lm_scoring.Vocabulary({"a": (0, -0.1), "b": (1, -0.2)}, {"": -1.0, "x": -2.0}, -3.0, 2)
     texts = ["a b x xx xxx", "", "A Y1 y2", " ".join(f"q{i}😀" for i in range(40)) + " b", "xx a"]
