@@ -52,6 +52,13 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def refuse(df: DataFrame, prefix: str) -> None:
+    """Raises if a column's name starts with a prefix that the caller reserves for its own columns."""
+    taken = [c for c in df.columns if c.lower().startswith(prefix)]
+    if taken:
+        raise ValueError(f"column names starting with {prefix!r} are reserved: {taken}")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import MEASURES, MIN_GROUP, SPREAD
+from .quality_rules import FAMILIES, MEASURES, PARTS, PRIOR, SPREAD, TWO_SIDED
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -27,7 +27,17 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropp
 FROM marked GROUP BY doc_id
 """
 
-_SLACKS = " ".join(f"WHEN '{m}' THEN {s}" for m, s in MEASURES.items())
+
+
+def _bin(v: str) -> str:
+    return f"(({v} >> greatest(length(bin({v})) - 5, 0)) << greatest(length(bin({v})) - 5, 0))"
+
+
+_FAMILIES: dict[str, list[str]] = {}
+for _m, _family in FAMILIES.items():
+    _low = f" OR coalesce({_bin(f'm.{_m}')} < w.{_m}_least, false)" if _m in TWO_SIDED else ""
+    _FAMILIES.setdefault(_family, []).append(f"coalesce({_bin(f'm.{_m}')} > w.{_m}, false){_low}")
+_OUTLIERS = " + ".join(f"CAST({' OR '.join(x)} AS INT)" for x in _FAMILIES.values())
 
 _QUALITY = f"""
 tokens AS (
@@ -50,31 +60,49 @@ tokens AS (
   LEFT JOIN covered c ON c.doc_id = d.doc_id
 ), measured AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-         1000 * n_symbols // greatest(word_chars, 1) AS q_symbols, 1000 * n_dup_lines // greatest(n_lines, 1) AS q_dup_lines,
-         1000 * n_repeat_words // greatest(n_words, 1) AS q_repeats, 100 * word_chars // greatest(n_words, 1) AS q_word_chars,
-         1000 * up // greatest(word_chars, 1) AS q_upper
+         CAST(1000 * n_symbols // greatest(word_chars, 1) AS BIGINT) AS q_symbols, CAST(1000 * n_dup_lines // greatest(n_lines, 1) AS BIGINT) AS q_dup_lines,
+         CAST(1000 * n_repeat_words // greatest(n_words, 1) AS BIGINT) AS q_repeats, CAST(100 * word_chars // greatest(n_words, 1) AS BIGINT) AS q_word_chars,
+         CAST(1000 * up // greatest(word_chars, 1) AS BIGINT) AS q_upper
   FROM base
 ), long AS (
-  SELECT lang, source, measure, (v >> greatest(length(bin(v)) - 5, 0)) << greatest(length(bin(v)) - 5, 0) AS b
-  FROM (UNPIVOT (SELECT doc_id, lang, source, {", ".join(f"CAST({m} AS BIGINT) AS {m}" for m in MEASURES)} FROM measured WHERE n_words > 0)
+  SELECT lang, source, measure, {_bin("v")} AS b
+  FROM (UNPIVOT (SELECT doc_id, lang, source, {", ".join(f"CAST({m} AS BIGINT) AS {m}" for m in MEASURES)} FROM measured WHERE NOT base_failed)
         ON {", ".join(MEASURES)} INTO NAME measure VALUE v)
 ), own AS (
-  SELECT lang, source, measure, count(*) AS total, quantile_disc(b, 0.5) AS mid, quantile_disc(b, 0.75) AS high FROM long GROUP BY ALL
-), by_lang AS (
-  SELECT lang, measure, count(*) AS total, quantile_disc(b, 0.5) AS mid, quantile_disc(b, 0.75) AS high FROM long GROUP BY ALL
+  SELECT lang, source, measure, b, count(*) AS n FROM long GROUP BY ALL
+), langs AS (
+  SELECT lang, measure, b, sum(n) AS n FROM own GROUP BY ALL
 ), overall AS (
-  SELECT measure, quantile_disc(b, 0.5) AS mid, quantile_disc(b, 0.75) AS high FROM long GROUP BY ALL
+  SELECT *, sum(n) OVER (PARTITION BY measure) AS total FROM (SELECT measure, b, sum(n) AS n FROM own GROUP BY ALL)
+), lang_bins AS (
+  SELECT g.lang, a.measure, a.b, {PARTS} * coalesce(l.n, 0) + a.n * {PRIOR * PARTS} // a.total AS n
+  FROM (SELECT DISTINCT lang FROM own) g CROSS JOIN overall a
+  LEFT JOIN langs l ON l.lang IS NOT DISTINCT FROM g.lang AND l.measure = a.measure AND l.b = a.b
+), group_bins AS (
+  SELECT g.lang, g.source, l.measure, l.b, {PARTS} * coalesce(o.n, 0) + l.n * {PRIOR * PARTS} // sum(l.n) OVER (PARTITION BY g.lang, g.source, l.measure) AS n
+  FROM (SELECT DISTINCT lang, source FROM own) g JOIN lang_bins l ON l.lang IS NOT DISTINCT FROM g.lang
+  LEFT JOIN own o ON o.lang IS NOT DISTINCT FROM g.lang AND o.source IS NOT DISTINCT FROM g.source AND o.measure = l.measure AND o.b = l.b
+), lang_mids AS (
+  SELECT lang, measure, min(b) AS mid FROM (
+    SELECT *, 2 * sum(n) OVER (PARTITION BY lang, measure ORDER BY b) >= sum(n) OVER (PARTITION BY lang, measure) AS half FROM lang_bins)
+  WHERE half GROUP BY ALL
+), group_mids AS (
+  SELECT lang, source, measure, min(b) AS mid FROM (
+    SELECT *, 2 * sum(n) OVER (PARTITION BY lang, source, measure ORDER BY b) >= sum(n) OVER (PARTITION BY lang, source, measure) AS half FROM group_bins)
+  WHERE half GROUP BY ALL
+), lang_reach AS (
+  SELECT x.lang, x.measure, floor(100 * CAST(sum(n * greatest(b - mid, 0)) AS DOUBLE) / sum(n)) AS above, floor(100 * CAST(sum(n * greatest(mid - b, 0)) AS DOUBLE) / sum(n)) AS below
+  FROM lang_bins x JOIN lang_mids m ON x.lang IS NOT DISTINCT FROM m.lang AND x.measure = m.measure GROUP BY ALL
+), group_reach AS (
+  SELECT x.lang, x.source, x.measure, mid, floor(100 * CAST(sum(n * greatest(b - mid, 0)) AS DOUBLE) / sum(n)) AS above, floor(100 * CAST(sum(n * greatest(mid - b, 0)) AS DOUBLE) / sum(n)) AS below
+  FROM group_bins x JOIN group_mids m ON x.lang IS NOT DISTINCT FROM m.lang AND x.source IS NOT DISTINCT FROM m.source AND x.measure = m.measure GROUP BY ALL
 ), limits AS (
-  SELECT o.lang, o.source, o.measure, m + {SPREAD} * (h - m) + CASE o.measure {_SLACKS} END AS most
-  FROM (SELECT own.lang, own.source, own.measure,
-               CASE WHEN own.total >= {MIN_GROUP} THEN own.mid WHEN l.total >= {MIN_GROUP} THEN l.mid ELSE a.mid END AS m,
-               CASE WHEN own.total >= {MIN_GROUP} THEN own.high WHEN l.total >= {MIN_GROUP} THEN l.high ELSE a.high END AS h
-        FROM own JOIN by_lang l ON own.lang IS NOT DISTINCT FROM l.lang AND own.measure = l.measure
-        JOIN overall a ON own.measure = a.measure) o
+  SELECT g.lang, g.source, g.measure, mid + floor({SPREAD} * least(g.above, 2 * l.above) / 100) AS most, mid - floor({SPREAD} * least(g.below, 2 * l.below) / 100) AS least
+  FROM group_reach g JOIN lang_reach l ON g.lang IS NOT DISTINCT FROM l.lang AND g.measure = l.measure
 ), wide AS (
-  SELECT lang, source, {", ".join(f"max(CASE WHEN measure = '{m}' THEN most END) AS {m}" for m in MEASURES)} FROM limits GROUP BY ALL
+  SELECT lang, source, {", ".join(f"max(CASE WHEN measure = '{m}' THEN most END) AS {m}, max(CASE WHEN measure = '{m}' THEN least END) AS {m}_least" for m in MEASURES)} FROM limits GROUP BY ALL
 ), judged AS (
-  SELECT m.*, NOT m.base_failed AND {" AND ".join(f"coalesce(m.{m} <= w.{m}, true)" for m in MEASURES)} AS kept
+  SELECT m.*, NOT m.base_failed AND {_OUTLIERS} < 2 AS kept
   FROM measured m LEFT JOIN wide w ON m.lang IS NOT DISTINCT FROM w.lang AND m.source IS NOT DISTINCT FROM w.source
 )"""
 

@@ -107,6 +107,60 @@ def test_quality_thresholds_follow_their_group(spark):
     assert not kept.pop(5000) and all(kept.values())
 
 
+def test_quality_limits_are_the_sketches(spark):
+    """On all of sf0.1: limits differ between groups in every measure, and one set of constants does not give the verdicts."""
+    d = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    measured = quality_rules.measure(docs).drop("text").cache()
+    limits = quality_rules.thresholds(quality_rules.sketches(measured)).collect()
+    assert len(limits) == measured.select("lang", "source").distinct().count()
+    for m in quality_rules.MEASURES:
+        assert len({r[m.replace("q_", "q_max_")] for r in limits}) > 5, m
+    assert len({r.q_min_word_chars for r in limits}) > 8
+    kept = {r.doc_id: r.kept for r in QUERIES["op4_quality_rules"](spark, d).select("doc_id", "kept").collect()}
+    fixed = (F.col("q_symbols") <= 30) & (F.col("q_dup_lines") <= 500) & (F.col("q_repeats") <= 350) & (F.col("q_word_chars") <= 800) & (F.col("q_upper") <= 280)
+    constants = {r.doc_id: r.k for r in measured.select("doc_id", (~F.col("base_failed") & fixed).alias("k")).collect()}
+    assert sum(kept[i] != constants[i] for i in kept) > 20
+    # thresholds against plain Python, from all values
+    rows = measured.where(~F.col("base_failed")).select("lang", "source", *quality_rules.MEASURES).collect()
+    for r in limits[::9]:
+        for m in quality_rules.MEASURES:
+            most, least = brute_limits(rows, r.lang, r.source, m)
+            assert r[m.replace("q_", "q_max_")] == most
+            assert r[m.replace("q_", "q_min_")] == (least if m in quality_rules.TWO_SIDED else None)
+    measured.unpersist()
+
+
+def brute_limits(rows, lang, source, m):
+    short = lambda v: v >> max(v.bit_length() - 5, 0) << max(v.bit_length() - 5, 0)
+    every, of_lang, own = (Counter(short(r[m]) for r in rows if f(r)) for f in (lambda r: True, lambda r: r.lang == lang, lambda r: (r.lang, r.source) == (lang, source)))
+    mixed = lambda a, b: {k: 100 * a.get(k, 0) + n * 10_000 // sum(b.values()) for k, n in b.items()}
+
+    def moments(w):
+        total, seen = sum(w.values()), 0
+        for mid in sorted(w):
+            seen += w[mid]
+            if 2 * seen >= total:
+                break
+        return mid, *(int(100 * sum(n * max(s * (k - mid), 0) for k, n in w.items()) / total) for s in (1, -1))
+
+    wide = mixed(of_lang, every)
+    (_, la, lb), (mid, a, b) = moments(wide), moments(mixed(own, wide))
+    return mid + int(4 * min(a, 2 * la) / 100), mid - int(4 * min(b, 2 * lb) / 100)
+
+
+def test_quality_junk_heavy_source_cannot_lift_its_limits(spark):
+    plain, junk = " ".join(f"word{i}" for i in range(80)), " ".join(f"wo{i}##$$&&||" for i in range(80))
+    rows = [(i, plain, "en", f"s{i % 4}", 0) for i in range(800)] + [(1000 + i, junk, "en", "s0", 0) for i in range(90)]
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert all(kept[i] for i in range(800)) and not any(kept[1000 + i] for i in range(90))
+
+
+def test_quality_refuses_reserved_names(spark):
+    with pytest.raises(ValueError, match="reserved"):
+        quality_rules.judge(awkward(spark).withColumn("q_w", F.lit(1)))
+
+
 def test_quality_empty(spark):
     assert quality_rules.judge(empty(spark)).count() == 0
 
@@ -116,7 +170,7 @@ def test_quality_keeps_clean_documents(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     out = quality_rules.judge(docs).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed")
     rates = {r.quality: r.rate for r in out.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("rate")).collect()}
-    assert rates[1] > 0.97 and rates[0] < 0.5, rates
+    assert rates[1] > 0.97 and rates[0] < 0.1, rates
 
 
 def test_fingerprints_whole_table(spark, sf_dir):
