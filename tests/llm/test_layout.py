@@ -52,6 +52,41 @@ def test_sharding_divides_a_hot_group(spark):
     assert sum(len(v) for v in shards.values()) <= len(shards) + 4  # only splitters divide equal texts
 
 
+def test_sharding_gathers_counts_of_splitters_only(spark):
+    """With thousands of partitions and tiny texts neither the driver nor a broadcast holds more than the splitters' intervals."""
+    docs = spark.range(300_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    keyed = docs.select(sharding.sort_key("doc_id", "text").alias("__key"), sharding.size_of(F.col("text")).alias("__size")).cache()
+    splitters, gathered = sharding.histogram_rounds(keyed, 8, 1e-6)
+    assert len(gathered) > 1 and gathered[0] <= 1 << 12 and all(n <= 7 << 12 for n in gathered[1:])
+    order = sorted((r[0] % (1 << 64), r[1]) for r in keyed.collect())
+    for s in splitters:
+        below = [size for k, size in order if k < s.key]
+        assert (sum(below), len(below)) == (s.size, s.rows)
+    keyed.unpersist()
+    for total in (0, 1, 10**6, 10**14, 10**17):
+        assert total / (1 << sharding.bucket_bits(total, 64 << 20)) <= max(64 << 20, total / (1 << 24))
+
+
+def test_sharding_is_in_key_order(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    for parts in ("8", "4096"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", parts)
+        try:
+            rows = sharding.shard(docs, 4).withColumn("k", sharding.sort_key("doc_id", "text")).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+        order = sorted((r.shard, r.slot, r.k % (1 << 64)) for r in rows)
+        assert [k for _, _, k in order] == sorted(k for _, _, k in order)
+        check_shards(rows, [(r.doc_id, r.text) for r in docs.collect()], 4, 60)
+
+
+def test_sharding_refuses_reserved_names(spark):
+    with pytest.raises(ValueError, match="reserved"):
+        sharding.shard(awkward(spark).withColumn("__key", F.lit(1)))
+
+
 def test_sharding_awkward(spark):
     docs = awkward(spark, extra=True)
     out = sharding.shard(docs, 4)
