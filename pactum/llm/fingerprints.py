@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, let, words_of
+from .common import cut, let, shuffle_partitions, words_of
 
 SHINGLE_WORDS, SCALE = 5, 8
 NO_ID = -(1 << 63)
@@ -97,24 +97,29 @@ def _identity(id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(key, F.lit(NO_ID)).alias("id"), hashed.alias("h")]
 
 
-def next_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 16384) -> DataFrame:
+def next_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, need, next_id, next_h): each document's successor by descending id.
 
-    `need` is half the text's code points; null ids come last, as the least number.  Ids are cut into
-    blocks of `width` ids, so a window holds few rows of a few bytes; a second
-    window, over one row per block, links each block's last row to the next block.
+    `need` is half the text's code points; null ids come last, as the least number.  The narrow
+    rows are range-partitioned in that order, whatever the ids' spacing, so a
+    window holds one partition's share; a second window, over one row per
+    partition, links each partition's last row to the next one's first.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(*_identity(id_col, text_col), F.floor(F.char_length(text) / 2).cast("int").alias("need"))
-    rows = cut(rows.groupBy("id", "h").agg(F.max("need").alias("need"))).withColumn("block", F.floor(F.col("id") / width))
-    down = Window.partitionBy("block").orderBy(F.col("id").desc(), "h")
+    rows = rows.groupBy("id", "h").agg(F.max("need").alias("need"))
+    order = [F.col("id").desc(), F.col("h").asc()]
+    # the range is sampled once; what is stored tells which partition a row went to
+    rows = cut(rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).withColumn("block", F.spark_partition_id()))
+    down = Window.partitionBy("block").orderBy(*order)
     this = F.struct("id", "h")
     inside = rows.withColumns({"next": F.lead(this).over(down), "place": F.row_number().over(down)})
-    heads = inside.where("place = 1").select(F.col("block").alias("b"), this.alias("head"))
-    top = Window.partitionBy(F.lit(0)).orderBy(F.col("b").desc())
+    heads = rows.groupBy(F.col("block").alias("b")).agg(F.max(F.struct("id", (-F.col("h").cast("decimal(20,0)")).alias("o"), "h")).alias("head"))
+    heads = heads.select("b", F.struct("head.id", "head.h").alias("head"))
+    top = Window.partitionBy(F.lit(0)).orderBy("b")
     whole = top.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = heads.select("b", F.coalesce(F.lead("head").over(top), F.first("head").over(whole)).alias("after"))
-    linked = inside.join(after, F.col("block") == F.col("b")).withColumn("next", F.coalesce("next", "after"))
+    after = heads.select("b", F.coalesce(F.lead("head").over(top), F.first("head").over(whole)).alias("after"))  # one row a partition
+    linked = inside.join(F.broadcast(after), F.col("block") == F.col("b")).withColumn("next", F.coalesce("next", "after"))
     return linked.select("id", "h", "need", F.col("next.id").alias("next_id"), F.col("next.h").alias("next_h"))
 
 
@@ -123,23 +128,24 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row: id, n_chars, text, edited (text), and the arrays sketch, edited_sketch, next_sketch.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the
-    first as many (or all) of the next document's text.  Texts are shuffled once,
-    by document; both joins read that exchange, and only the needed beginnings
-    travel on from a document to the one before it.
+    first as many (or all) of the next document's text.  A text is sketched where
+    it lies and shuffled once with its sketch, by document; both joins read that
+    exchange, and only the needed beginnings and the sketch travel on from a
+    document to the one before it.
     """
     links = next_in_order(docs, id_col, text_col)
-    texts = docs.select(*_identity(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(*_identity(id_col, text_col), text.alias("text"), sketch(text, n_words, scale).alias("sketch"))
     texts = texts.repartition("id", "h")
     one = Window.partitionBy("id", "h").orderBy(F.lit(0))
     source = texts.withColumn("copy", F.row_number().over(one)).where("copy = 1")
-    source = source.select(F.col("id").alias("from_id"), F.col("h").alias("from_h"), F.col("text").alias("from_text"))
+    source = source.select(F.col("id").alias("from_id"), F.col("h").alias("from_h"), F.col("text").alias("from_text"), F.col("sketch").alias("next_sketch"))
     begun = links.join(source, (F.col("next_id") == F.col("from_id")) & (F.col("next_h") == F.col("from_h"))).select(
-        F.col("id").alias("to_id"), F.col("h").alias("to_h"), F.substr("from_text", F.lit(1), F.col("need")).alias("begin"),
-        sketch(F.col("from_text"), n_words, scale).alias("next_sketch"),
-    )
+        F.col("id").alias("to_id"), F.col("h").alias("to_h"), F.substr("from_text", F.lit(1), F.col("need")).alias("begin"), "next_sketch"
+    )
     joined = texts.join(begun, (F.col("id") == F.col("to_id")) & (F.col("h") == F.col("to_h")))
     n = F.char_length("text")
     edited = F.concat(F.substr("text", F.lit(1), (n - F.floor(n / 2)).cast("int")), "begin")
     given = F.when((F.col("id") != NO_ID) | (F.col("h") != F.xxhash64("text", F.lit(True))), F.col("id"))
-    out = joined.select(given.alias("id"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_sketch")
-    return out.withColumns({"sketch": sketch(F.col("text"), n_words, scale), "edited_sketch": sketch(F.col("edited"), n_words, scale)})
+    out = joined.select(given.alias("id"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_sketch", "sketch")
+    return out.withColumn("edited_sketch", sketch(F.col("edited"), n_words, scale))

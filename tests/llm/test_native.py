@@ -198,6 +198,37 @@ def test_fingerprints_whole_table(spark, sf_dir):
     assert abs(sum(error) / len(error)) < 0.05 and sum(abs(e) for e in error) / len(error) < 0.12
 
 
+def test_fingerprints_hold_every_hash_below_the_bound(spark):
+    """The sketch against xxHash: a shingle's hash chains its words' XXH64 as seeds."""
+    import xxhash
+
+    d = "/root/testdata/sf0.01"
+    bound, empty_or_one = (1 << 64) // fingerprints.SCALE, 0
+    texts = {r["doc_id"]: r["text"] for r in read(d, "documents")}
+    for r in QUERIES["op8_fingerprints"](spark, d).collect():
+        hashes = set()
+        for s in shingles(texts[r.doc_id]):
+            h = 42
+            for w in s.split(" "):
+                h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+            hashes.add(h)
+        low = {h for h in hashes if h < bound}
+        empty_or_one += not low
+        want = sorted(low or ({min(hashes)} if hashes else ()), key=lambda h: h - (1 << 64) if h >> 63 else h)
+        assert r.fingerprint == "".join(f"{h:016X}" for h in want)
+    assert empty_or_one < 200
+
+
+def test_next_in_order_with_hashed_ids(spark):
+    """Random 64-bit ids: blocks hold near equal shares, and the order is complete."""
+    docs = spark.range(20_000).select(F.when(F.col("id") % 500 > 0, F.xxhash64("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    rows = fingerprints.next_in_order(docs).collect()
+    order = sorted(((r.id, -r.h) for r in rows), reverse=True)
+    assert {(r.id, r.h): (r.next_id, r.next_h) for r in rows} == {(i, -h): (j, -k) for (i, h), (j, k) in zip(order, order[1:] + order[:1])}
+    plan = docs.select(*fingerprints._identity("doc_id", "text")).repartitionByRange(8, F.col("id").desc(), "h")
+    assert max(r["count"] for r in plan.groupBy(F.spark_partition_id()).count().collect()) < 2 * 20_000 / 8
+
+
 def shingles(t):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
     return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
