@@ -7,7 +7,9 @@ guaranteed count.  The index lists fingerprints under every choice of m
 positions together with their values.  A pair that shares t positions meets in
 C(t, m) lists, so the lists hold exactly the pairs whose tally reaches m;
 posting lists of single bytes would hold 1/256 of all fingerprints each, and
-tallying over them would be quadratic.  Each list is then verified by bit count.
+tallying over them would be quadratic.  Inside a list the shared positional
+bytes of each pair that is compared are tallied, pairs below the guaranteed
+count are dropped, and the others are verified by bit count.
 
 A list may hold a large group of near copies.  Its pairs are not emitted: a
 breadth-first sweep in numpy emits a spanning forest of the list's links, which
@@ -27,7 +29,8 @@ Defined results
   appear once per row, in their component.
 * Null ids are linked but never name a component unless it has no other id.
 * Columns other than id and text are not carried by `fingerprints`, so their
-  names cannot clash; `keep_one` carries all, and reserves `__`-prefixed names.
+  names cannot clash; `keep_one` carries all; names that start with `__` are
+  reserved, and refused.
 * Empty tables give empty results.
 """
 
@@ -40,10 +43,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, cut, map_arrow, shuffle_partitions
+from .common import LAST_ID, cut, map_arrow, refuse, shuffle_partitions
 
 SEED, BITS, MOST_LISTED = 42, 64, 1 << 15
 _LANES = np.uint64(0x0101010101010101)
@@ -100,14 +103,25 @@ def fingerprints(docs: DataFrame, n_words: int = 4, id_col: str = "doc_id", text
     return map_arrow(docs.select(id_col, text_col), run, f"id {kind}, fp long")
 
 
-def sweep(ids: np.ndarray, prints: np.ndarray, distance: int) -> Iterator[tuple[int, np.ndarray]]:
-    """A spanning forest of the links among `prints` (rows, words): ids with the new ones each reaches."""
+def tallies(prints: np.ndarray, own: np.ndarray, width: int = 1) -> np.ndarray:
+    """For each of `prints` (rows, words) the number of positions, of `width` bytes, whose values `own` shares."""
+    same = ((prints ^ own).view(np.uint8) == 0).reshape(len(prints), -1, width).all(axis=2)
+    return same.sum(axis=1)
+
+
+def sweep(ids: np.ndarray, prints: np.ndarray, distance: int, least_shared: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """A spanning forest of the links among `prints` (rows, words): ids with the new ones each reaches.
+
+    Pairs are tallied first: only those that share `least_shared` positional
+    bytes, the number guaranteed within the distance, are verified by their bits.
+    """
     while len(ids) > 1:
         frontier = [(ids[0], prints[0])]
         ids, prints = ids[1:], prints[1:]
         while frontier and len(ids):
             node, own = frontier.pop()
-            near = np.bitwise_count(prints ^ own).sum(axis=1) <= distance
+            near = tallies(prints, own) >= least_shared if least_shared else np.ones(len(ids), dtype=bool)
+            near[near] = np.bitwise_count(prints[near] ^ own).sum(axis=1) <= distance
             if near.any():
                 found = ids[near]
                 yield int(node), found
@@ -115,7 +129,7 @@ def sweep(ids: np.ndarray, prints: np.ndarray, distance: int) -> Iterator[tuple[
                 ids, prints = ids[~near], prints[~near]
 
 
-def _forest(distance: int, most_listed: int, overfull: str):
+def _forest(distance: int, most_listed: int, overfull: str, least_shared: int = 0):
     """mapInArrow over (key, id, words of the print ...) sorted by key: the lists' links (u, v).
 
     The members of a list above `most_listed` are not held.  With overfull
@@ -131,7 +145,7 @@ def _forest(distance: int, most_listed: int, overfull: str):
                 return []
             ids, at = np.unique(np.concatenate([h[0] for h in held]), return_index=True)
             prints = np.concatenate([h[1] for h in held])[at]
-            return [(np.full(len(v), u, dtype=np.int64), v) for u, v in sweep(ids, prints, distance)]
+            return [(np.full(len(v), u, dtype=np.int64), v) for u, v in sweep(ids, prints, distance, least_shared)]
 
         def passed(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
             return (ids, None) if overfull == "report" else (np.full(len(ids), first, dtype=np.int64), ids)
@@ -183,7 +197,7 @@ def links(fps: DataFrame, distance: int = 4, most_listed: int = MOST_LISTED) ->
     index = fps.select("fp", F.posexplode(masks).alias("i", "mask")).select(
         F.xxhash64("i", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp", F.col("fp").alias("print")
     )
-    found = _linked(index, _forest(distance, most_listed, "report"))
+    found = _linked(index, _forest(distance, most_listed, "report", 8 - distance))
     out = found.where("v is not null")
     overfull = found.where("v is null").select(F.col("u").alias("fp"))
     if overfull.isEmpty():
@@ -203,6 +217,31 @@ def neighbour_links(fps: DataFrame, distance: int) -> DataFrame:
     return grouped.select(F.inline(pairs)).distinct()
 
 
+def _hot_bound(rows: int, spark) -> int:
+    """Rows of one key above which a join splits it; at most 4 * partitions keys have more."""
+    return max(1024, rows // (4 * shuffle_partitions(spark)))
+
+
+def _hot(values: DataFrame) -> tuple[int, bool]:
+    """For keys with n rows each: the bound of `join_split`, and whether a key exceeds it."""
+    rows, most = values.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    bound = _hot_bound(rows, values.sparkSession)
+    return bound, most > bound
+
+
+def join_split(rows: DataFrame, values: DataFrame, key: str, bound: int, any_hot: bool) -> DataFrame:
+    """`rows` joined with `values` (unique `key`, n rows of it, ...) without sending a hot key to one task.
+
+    Keys of more than `bound` rows, whose number the bound limits, are broadcast
+    and meet their rows where these lie; the others are joined by exchange.
+    """
+    if not any_hot:
+        return rows.join(values.drop("n"), key)
+    hot = F.broadcast(values.where(F.col("n") > bound))
+    cold = rows.join(hot.select(key), key, "left_anti").join(values.where(F.col("n") <= bound).drop("n"), key)
+    return rows.join(hot.drop("n"), key).unionByName(cold)
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) for every node of `pairs` (u, v): root is the smallest node reachable."""
     edges = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
@@ -210,12 +249,12 @@ def components(pairs: DataFrame) -> DataFrame:
     while True:
         # large star: every node hands its larger neighbours to its smallest neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = join_split(both.where("v > u"), least, "u", *_hot(least))
+        large = cut(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # small star: every node hands its smaller neighbours, and itself, to the smallest of them
-        large = cut(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = large.join(least.where("n > 1").drop("n"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
@@ -226,13 +265,13 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def classes(prints: DataFrame, distance: int = 4, most_listed: int = MOST_LISTED) -> DataFrame:
     """(id, fp, component_id) of every row of `prints` (id, fp): the smallest id reachable over links."""
-    first = cut(prints.groupBy("fp").agg(F.min("id").alias("first_id")))
+    first = cut(prints.groupBy("fp").agg(F.min("id").alias("first_id"), F.count("*").alias("rows")))
     roots = components(links(first.select("fp"), distance, most_listed))
-    rooted = first.join(roots, first.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
-    # only roots of several fingerprints need the group's minimum
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("id", "fp", "component_id")
+    rooted = cut(first.join(roots, first.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id", "rows"))
+    least = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")))
+    named = join_split(rooted.select("root", "fp", "rows"), least, "root", *_hot(least))
+    named = cut(named.select("fp", "component_id", F.col("rows").alias("n")))
+    return join_split(prints, named, "fp", *_hot(named)).select("id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, n_words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,6 +282,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 4, distance: int = 4, id_col
 
 BANDS, BAND_ROWS = 32, 4  # two texts of similarity s share a band with probability 1 - (1 - s ** 4) ** 32
 CHECKED_DISTANCE = 32  # of the sketches' 128 bits; at a similarity of 0.8 12.8 differ on average
+BLOCK, BLOCK_BYTES, PIVOTS = 128, 8 << 20, 16
 _HASHES = BANDS * BAND_ROWS
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, _HASHES, dtype=np.uint32) | np.uint32(1)
 
@@ -289,7 +329,7 @@ def band_index(docs: DataFrame, n_words: int, text_id: str, text_col: str) -> Da
 
 
 def _verify(n_words: int, similarity: float):
-    """mapInArrow over (root, lo, hi, tid, text) sorted by the first three: verified links (u, v) of each block pair."""
+    """mapInArrow over (root, lo, hi, tid, text) sorted by the first three: verified links (u, v) of each block."""
 
     def block_links(tids: list[int], texts: list[str]):
         tids, at = np.unique(np.array(tids, dtype=np.int64), return_index=True)
@@ -337,8 +377,66 @@ def _verify(n_words: int, similarity: float):
     return run
 
 
+def _blocked(rows: DataFrame, n_words: int, similarity: float) -> DataFrame:
+    """Verified links (u, v) inside each block of `rows` (root, lo, hi, node, t)."""
+    by = ["root", "lo", "hi"]
+    blocks = rows.select(*by, "node", "t").repartition(shuffle_partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
+    return cut(map_arrow(blocks, _verify(n_words, similarity), "u long, v long"))
+
+
+def _pieces(n: str, of_bytes: str | None, block: int) -> Column:
+    """Blocks for n texts: of about `block` texts, and of about BLOCK_BYTES bytes, each."""
+    by_bytes = F.ceil(F.col(of_bytes) / BLOCK_BYTES) if of_bytes else F.lit(1).cast("long")
+    return F.greatest(F.ceil(F.col(n) / block), by_bytes, F.lit(1).cast("long"))
+
+
+def _numbers(k: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+
+
+def _dealt(k: str) -> Column:
+    return F.pmod(F.xxhash64("node"), F.col(k))
+
+
+def verified_links(groups: DataFrame, texts: DataFrame, index: DataFrame, n_words: int, similarity: float, block: int) -> DataFrame:
+    """Links (u, v) with the components of all pairs at the similarity that share a list or a small candidate group.
+
+    groups: (node, root, bytes) of candidate groups; texts: (node, t) of their
+    members; index: (key, node), the candidate lists.  Groups of up to `block`
+    texts are verified whole.  A larger one is dealt into blocks, each verified
+    whole together with the group's `PIVOTS` pivots, so every text travels once
+    and tight families join through their pivots.  What is left are pairs that
+    share a list and are not yet joined: of each list with several components
+    the members outside its largest one are compared with all.
+    """
+    sizes = cut(groups.groupBy("root").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).withColumn("k", _pieces("n", "b", block)).drop("b"))
+    members = cut(join_split(groups.select("node", "root"), sizes, "root", *_hot(sizes)))
+    big = members.where("k > 1")
+    first = Window.partitionBy("root").orderBy(F.xxhash64("node"), "node")
+    pivots = big.withColumn("place", F.row_number().over(first)).where(F.col("place") <= PIVOTS).select("root", _numbers("k").alias("i"), "node")
+    dealt = members.select("root", _dealt("k").alias("i"), "node").unionByName(pivots)
+    whole = dealt.join(texts, "node").select("root", F.col("i").alias("lo"), F.col("i").alias("hi"), "node", "t")
+    links = _blocked(whole, n_words, similarity)
+    if big.isEmpty():
+        return links
+    joined = components(links).withColumnsRenamed({"node": "of", "root": "found"})
+    labels = big.join(joined, big.node == joined.of, "left").select("node", F.coalesce("found", "node").alias("label"))
+    lists = cut(index.join(labels, "node"))
+    counts = lists.groupBy("key", "label").agg(F.count("*").alias("c"))
+    mixed = counts.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    mixed = mixed.withColumn("rest", F.col("n") - F.col("top.c"))
+    mixed = cut(mixed.select("key", "n", F.col("top.label").alias("main"), _pieces("n", None, block).alias("k"), _pieces("rest", None, block).alias("r")))
+    if mixed.isEmpty():
+        return links
+    every = cut(join_split(lists, mixed, "key", *_hot(mixed)))
+    others = every.where("label <> main").select("key", _dealt("r").alias("lo"), _numbers("k").alias("hi"), "node")
+    every = every.select("key", _numbers("r").alias("lo"), _dealt("k").alias("hi"), "node")
+    rest = every.unionByName(others).withColumnRenamed("key", "root").join(texts, "node")
+    return links.unionByName(_blocked(rest, n_words, similarity))
+
+
 def keep_one(docs: DataFrame, n_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
-             block: int = 512, most_listed: int = MOST_LISTED) -> DataFrame:
+             block: int = BLOCK, most_listed: int = MOST_LISTED) -> DataFrame:
     """The rows of `docs`, all columns, without near-duplicates: of each group the row with the smallest id stays.
 
     Texts link if their sets of `n_words`-word shingles (A-Z lower-cased) have a
@@ -347,30 +445,22 @@ def keep_one(docs: DataFrame, n_words: int = 5, similarity: float = 0.8, id_col:
     differ in at most 32 bits of a sketch of 128; at a similarity of 0.8 a pair
     fails the first with probability 5e-8 and the second with 3e-7, and less
     above.  These odds are for 0.8; a lower `similarity` needs more bands and a
-    wider check.  Candidate components are cut into blocks of about `block`
-    texts and verified block against block, so no task holds more than two
-    blocks and no pair is emitted that does not join a forest.
+    wider check.  Every link is verified exactly; see `verified_links`.
     """
+    refuse(docs, "__")
     fixed = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
-    keyed = docs.withColumns({"__tid": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), "__id": fixed})
-    first = cut(keyed.groupBy("__tid").agg(F.min("__id").alias("first_id"), F.count("*").alias("rows")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.withColumns({"__tid": F.xxhash64(text), "__id": fixed})
+    first = cut(keyed.groupBy("__tid").agg(F.min("__id").alias("first_id"), F.count("*").alias("rows"), F.max(F.octet_length(text)).cast("long").alias("bytes")))
     prints = band_index(keyed, n_words, "__tid", text_col).groupBy("tid").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.min("keys").alias("keys"))
+    prints = cut(prints)
     index = prints.select(F.explode("keys").alias("key"), "tid", "a", "b")
     candidates = components(_linked(index, _forest(CHECKED_DISTANCE, most_listed, "chain")))
-    groups = cut(candidates.select("node", "root").unionByName(candidates.select(F.col("root").alias("node"), "root")).distinct())
-    # groups of more than a block number at most candidates / block
-    large = groups.groupBy("root").count().where(F.col("count") > block).select("root", F.ceil(F.col("count") / block).alias("k"))
-    members = groups.join(large, "root", "left").withColumn("k", F.coalesce("k", F.lit(1).cast("long")))
-    members = members.withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")))
-    members = members.join(first, members.node == first["__tid"]).select("root", "k", "i", "node", "first_id")
-    whole = keyed.select("__id", "__tid", F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    texts = whole.join(members, (F.col("__id") == F.col("first_id")) & (F.col("__tid") == F.col("node"))).select("root", "k", "i", "node", "t")
-    pairs = texts.select("root", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"), "node", "t").select(
-        "root", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "node", "t"
-    )
-    by = ["root", "lo", "hi"]
-    blocks = pairs.repartition(shuffle_partitions(docs.sparkSession), *by).sortWithinPartitions(*by)
-    verified = components(map_arrow(blocks, _verify(n_words, similarity), "u long, v long"))
+    groups = candidates.select("node", "root").unionByName(candidates.select(F.col("root").alias("node"), "root")).distinct()
+    groups = cut(groups.join(first, groups.node == first["__tid"]).select("node", "root", "first_id", "bytes"))
+    whole = keyed.select("__id", "__tid", text.alias("t")).join(groups.select("node", "first_id"), (F.col("__id") == F.col("first_id")) & (F.col("__tid") == F.col("node")))
+    texts = cut(whole.select("node", "t"))
+    verified = components(verified_links(groups, texts, index.select("key", F.col("tid").alias("node")), n_words, similarity, block))
     classed = first.join(verified, first["__tid"] == verified.node, "left").select("__tid", F.coalesce("root", "__tid").alias("class"), "first_id", "rows")
     kept = cut(classed.groupBy("class").agg(F.min(F.struct("first_id", "__tid")).alias("one"), F.max("rows").alias("rows")))
     stay = kept.select(F.col("one.first_id").alias("__id"), F.col("one.__tid").alias("__tid"))

@@ -96,7 +96,7 @@ def test_packing(stages):
     assert padding <= 2048 * given.rdd.getNumPartitions()
 
 
-@pytest.mark.parametrize("block,most_listed", [(512, simhash.MOST_LISTED), (4, 6)])
+@pytest.mark.parametrize("block,most_listed", [(512, simhash.MOST_LISTED), (simhash.BLOCK, simhash.MOST_LISTED), (4, 6)])
 def test_near_duplicates_of_a_large_group(spark, block, most_listed):
     base = [f"word{i}" for i in range(120)]
     texts = []
@@ -113,6 +113,22 @@ def test_near_duplicates_of_a_large_group(spark, block, most_listed):
     assert sorted(r["doc_id"] for r in rows(got)) == sorted(set(roots.values()))
 
 
+def test_block_rows_grow_linearly_with_a_family(spark, monkeypatch):
+    """One family of near copies: rows sent to blocks per text stay about the same as it grows."""
+    sent = []
+    real = simhash._blocked
+    monkeypatch.setattr(simhash, "_blocked", lambda rows, *a: (sent.append(rows.count()), real(rows, *a))[1])
+    per_text = []
+    for size in (200, 800):
+        base = [f"word{i}" for i in range(200)]
+        texts = [" ".join(base[:j] + [f"other{k}"] + base[j + 1 :]) for k in range(size) for j in [(7 * k) % 200]]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        sent.clear()
+        assert [r.doc_id for r in simhash.keep_one(docs, block=32).collect()] == [0]
+        per_text.append(sum(sent) / size)
+    assert max(per_text) < 3 and per_text[1] < 1.3 * per_text[0], per_text
+
+
 @pytest.mark.parametrize("way", ["appended", "replaced"])
 def test_near_duplicates_with_another_passage(spark, sf_dir, way):
     """Pairs at 0.8 to 0.9 that differ in one block: the whole table's prose, each text with a passage of the next."""

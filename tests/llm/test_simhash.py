@@ -92,6 +92,45 @@ def test_long_chain_has_one_root(spark):
     assert simhash.components(df.where("false")).count() == 0
 
 
+def test_tallies_are_plain_counts():
+    rnd = random.Random(5)
+    values = [rnd.getrandbits(64) for _ in range(50)]
+    own = values[0] ^ 0xFF00FF
+    values += [own, own ^ 1, own ^ (1 << 63)]
+    got = simhash.tallies(np.array(values, dtype=np.uint64).reshape(-1, 1), np.array([own], dtype=np.uint64))
+    assert got.tolist() == [sum(v >> 8 * k & 255 == own >> 8 * k & 255 for k in range(8)) for v in values]
+
+
+def test_index_is_a_plain_tally(spark):
+    """The pairs that share a list are those whose tally over posting lists of single bytes reaches four."""
+    fps = sorted({f ^ (rnd.getrandbits(64) & 0xFF00FF00FF) for rnd in [random.Random(9)] for f in (random.Random(k % 12).getrandbits(64) for k in range(300))})
+    postings = {}
+    for f in fps:
+        for k in range(8):
+            postings.setdefault((k, f >> 8 * k & 255), []).append(f)
+    tally = {}
+    for members in postings.values():
+        for i, a in enumerate(members):
+            for b in members[i + 1 :]:
+                tally[a, b] = tally.get((a, b), 0) + 1
+    lists = {}
+    for i, m in enumerate(simhash.choices(8, 1, 4)):
+        for f in fps:
+            lists.setdefault((i, f & (m % (1 << 64))), []).append(f)
+    met = {(a, b) for members in lists.values() for i, a in enumerate(members) for b in members[i + 1 :]}
+    assert met == {pair for pair, n in tally.items() if n >= 4} and met
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_hot_bound", lambda rows, _: 5)
+    star = [(0, i) for i in range(1, 60)] + [(100, 101), (101, 102), (59, 61)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(star, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 60)}, 61: 0, 101: 100, 102: 100}
+    prints = spark.createDataFrame([(i, i % 3) for i in range(90)] + [(200, 1 << 40)], "id long, fp long")
+    got = {r.id: r.component_id for r in simhash.classes(prints).collect()}
+    assert got == {**{i: 0 for i in range(90)}, 200: 0}  # one, two and 2^40 differ from zero in one or two bits
+
+
 def test_awkward(spark):
     docs = awkward(spark, extra=True)
     rows = simhash.near_duplicates(docs).collect()
