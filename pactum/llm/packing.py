@@ -9,8 +9,10 @@ more, whose rest is routed anew.  So every window is full.  What a task has left
 at its end is cut into windows of falling powers of two; only a rest below the
 shortest of them is padded, at most once per task.
 
-Windows of a tier are dealt to step groups that all hold the same number of
-tokens: a step has step_tokens / window windows of one tier.
+Windows of a size are dealt to step groups that hold the same number of tokens:
+a step has step_tokens / window windows of one size.  Windows are numbered over
+all tasks, by the counts of the tasks before, so each size has one part-filled
+step group at most, whatever the number of tasks.
 
 Defined results
 ---------------
@@ -30,15 +32,17 @@ from collections.abc import Iterator
 import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import cut, map_arrow
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 TIERS = (2048, 1024, 512, 256)
 SHORTEST, STEP_TOKENS = 64, 16 * 2048
+TASK_SHIFT, MOST_BROADCAST = 40, 100_000
 SCHEMA = (
-    "start long, length long, ids binary, doc_tokens long, sequence_id long, `offset` long, window int, step_group long"
+    "start long, length long, ids binary, doc_tokens long, sequence_id long, `offset` long, window int, number long"
 )
 #: Characters for which lower-casing, NFC and the splitting pattern are the plain ones used by WordTokens.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xc0-\xff–—‘-”…]")
@@ -110,9 +114,9 @@ class Piece:
 
 
 class Packer:
-    def __init__(self, task: int, tiers: tuple[int, ...] = TIERS, shortest: int = SHORTEST, step_tokens: int = STEP_TOKENS):
-        self.tiers, self.shortest, self.step_tokens = sorted(tiers, reverse=True), shortest, step_tokens
-        self.base, self.made, self.dealt = task << 40, 0, {}
+    def __init__(self, task: int, tiers: tuple[int, ...] = TIERS, shortest: int = SHORTEST):
+        self.tiers, self.shortest = sorted(tiers, reverse=True), shortest
+        self.base, self.made, self.dealt = task << TASK_SHIFT, 0, {}
         # per tier, pieces sorted by length (the counter breaks ties)
         self.waiting: dict[int, list[tuple[int, int, Piece]]] = {w: [] for w in self.tiers}
         self.count, self.rows = 0, []
@@ -131,12 +135,11 @@ class Packer:
             insort(self.waiting[tier], (piece.length, self.count, piece))
 
     def _emit(self, pieces: list[Piece], window: int) -> None:
-        n = self.dealt[window] = self.dealt.get(window, -1) + 1
-        group = self.base | (window << 28) | n // max(1, self.step_tokens // window)
+        number = self.dealt[window] = self.dealt.get(window, -1) + 1  # among the task's windows of this size
         offset = 0
         for p in pieces:
             ids = p.data[4 * p.start : 4 * (p.start + p.length)]
-            self.rows.append((p.doc, p.start, p.length, ids, p.total, self.base | self.made, offset, window, group))
+            self.rows.append((p.doc, p.start, p.length, ids, p.total, self.base | self.made, offset, window, number))
             offset += p.length
         self.made += 1
 
@@ -199,21 +202,21 @@ class Packer:
         return rows
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None,
-         tiers: tuple[int, ...] = TIERS, shortest: int = SHORTEST, step_tokens: int = STEP_TOKENS) -> DataFrame:
-    """One row per piece: id, start, length, ids (little-endian unsigned 32-bit), doc_tokens,
-    sequence_id, offset, window (its sequence's length when full) and step_group."""
+def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None,
+            tiers: tuple[int, ...] = TIERS, shortest: int = SHORTEST) -> DataFrame:
+    """One row per piece: id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset, window
+    (its sequence's length when full) and number (of the sequence among its task's windows of that size)."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     kind = docs.schema[id_col].dataType.simpleString()
     end = END_ID.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer = WordTokens.of(path), Packer(TaskContext.get().partitionId(), tiers, shortest, step_tokens)
+        tokens, packer = WordTokens.of(path), Packer(TaskContext.get().partitionId(), tiers, shortest)
 
         def out(id_type: pa.DataType) -> pa.RecordBatch:
             columns = list(zip(*packer.taken())) or [[]] * 9
             kinds = [id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            names = [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "window", "step_group"]
+            names = [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "window", "number"]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
         id_type = None
@@ -231,3 +234,22 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
             yield out(id_type)
 
     return map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, {SCHEMA}")
+
+
+def step_groups(pieces: DataFrame, step_tokens: int = STEP_TOKENS) -> DataFrame:
+    """`pieces` of `windows` with step_group in place of number; they are stored, as tasks are counted first."""
+    pieces = cut(pieces.withColumn("task", F.shiftright("sequence_id", TASK_SHIFT)))
+    tasks = pieces.groupBy("task", "window").agg((F.max("number") + 1).alias("n"))
+    before = Window.partitionBy("window").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    firsts = tasks.select("task", "window", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    if tasks.count() <= MOST_BROADCAST:  # a row per task and size
+        firsts = F.broadcast(firsts)
+    place = F.col("first") + F.col("number")
+    group = F.shiftleft(F.col("window").cast("long"), 44) + F.floor(place / F.greatest(F.lit(1), F.floor(F.lit(step_tokens) / F.col("window"))))
+    return pieces.join(firsts, ["task", "window"]).withColumn("step_group", group).select(*[c for c in pieces.columns if c not in ("task", "number")], "step_group")
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None,
+         tiers: tuple[int, ...] = TIERS, shortest: int = SHORTEST, step_tokens: int = STEP_TOKENS) -> DataFrame:
+    """The pieces of `windows`, with step_group in place of number."""
+    return step_groups(windows(docs, id_col, text_col, vocabulary, tiers, shortest), step_tokens)

@@ -132,14 +132,30 @@ def test_packing_whole_table(spark, sf_dir):
     padding, sequences = check_pieces(rows, [(d["doc_id"], d["text"]) for d in read(sf_dir, "documents")])
     assert padding <= 2048 * docs.rdd.getNumPartitions()
     assert len({r.window for r in rows}) >= 3
-    steps = Counter()
-    for rs in sequences.values():
-        steps[rs[0].step_group, rs[0].window] += rs[0].window
-    assert max(steps.values()) <= packing.STEP_TOKENS
+    check_steps(sequences)
     digest = {(r.doc_id, r.start): r.ids_crc32 for r in QUERIES["op2_packing"](spark, sf_dir).collect()}
     assert digest == {(r.doc_id, r.start): zlib.crc32(bytes(r.ids)) for r in rows}
 
 
+def check_steps(sequences, step_tokens=packing.STEP_TOKENS):
+    """All step groups of a window size hold the same number of tokens, but one at most."""
+    steps, sizes = Counter(), {}
+    for rs in sequences.values():
+        assert len({(r.step_group, r.window) for r in rs}) == 1
+        steps[rs[0].step_group] += rs[0].window
+        assert sizes.setdefault(rs[0].step_group, rs[0].window) == rs[0].window
+    short = Counter(sizes[g] for g, n in steps.items() if n < step_tokens)
+    assert max(steps.values()) == step_tokens and max(short.values(), default=0) <= 1, short
+
+
+def test_packing_balances_steps_over_tasks(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(13)
+    rows = packing.pack(docs, step_tokens=4 * 2048).collect()
+    assert len({r.sequence_id >> packing.TASK_SHIFT for r in rows}) == 13
+    _, sequences = check_pieces(rows, [(d["doc_id"], d["text"]) for d in read(sf_dir, "documents")])
+    check_steps(sequences, 4 * 2048)
+
+
 def test_packing_awkward(spark):
     docs = awkward(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
     check_pieces(packing.pack(docs).collect(), [(r.doc_id, r.text) for r in docs.collect()])
