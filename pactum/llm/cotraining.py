@@ -5,17 +5,19 @@
 * Page view: metadata only - source, language, size, layout of lines, and the
   address of the page with the document's id, hashed into a fixed number of slots.
 
-Each view has a logistic classifier.  In every round each classifier labels the
-pool of unlabelled documents; those it is surest of, in the proportions of the
-true labels, join the other view's training set.  Then each view's scores are
-calibrated on labelled documents that neither view learnt from (Platt scaling),
-and a logistic combination of the calibrated views, fitted on the same
-documents, scores every document.
-
-Learning is in numpy on the driver, over features of a bounded sample: at most
-`most_labelled` labelled and `most_pooled` unlabelled documents, chosen by a hash
-of the id.  All features are computed where the documents are, and scoring
-covers every row's whole text.
+Each view has a logistic classifier.  In every round both classifiers score all
+unlabelled documents, where these lie.  Of the documents that a classifier is
+sure of, a fresh sample by hash, of the whole table and in the proportions of
+the true labels, joins the other view's training set with its labels, in place
+of the former round's.  Then each view's scores are calibrated on labelled
+documents that neither view learnt from (Platt scaling), and a logistic
+combination of the calibrated views, fitted on the same documents, scores every
+document.
+
+Fits are in numpy on the driver: over at most `most_labelled` labelled documents
+and, per view and round, `most_added` pseudo-labelled ones.  The unlabelled
+documents' features are computed once and stored as compact rows (half-precision
+shares and slot numbers).  Scoring covers every row's whole text.
 
 Defined results
 ---------------
@@ -41,10 +43,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, map_arrow
+from .common import cut, hash_sample, map_arrow
 from .toxicity import held_out
 
-MOST_LABELLED, MOST_POOLED, ROUNDS = 4000, 4000, 5
+MOST_LABELLED, MOST_ADDED, ROUNDS, SURE = 4000, 1000, 5, 0.9
 KINDS, SLOTS = 16, 256
 N_TEXT = KINDS * KINDS + 3
 
@@ -76,8 +78,8 @@ def text_view(text: str) -> np.ndarray:
     return out
 
 
-def page_view(source: str | None, lang: str | None, n_chars: int, n_lines: int, url: str | None) -> np.ndarray:
-    out = np.zeros(SLOTS, dtype=np.float32)
+def page_slots(source: str | None, lang: str | None, n_chars: int, n_lines: int, url: str | None) -> list[int]:
+    """The slots of a document's metadata, one per fact."""
     size, lines = int(n_chars).bit_length(), int(n_lines).bit_length()
     facts = [f"source={source}", f"lang={lang}", f"size={size}", f"lines={lines}", f"line={int(n_chars / max(1, n_lines)).bit_length()}"]
     if url is not None:
@@ -85,9 +87,14 @@ def page_view(source: str | None, lang: str | None, n_chars: int, n_lines: int,
         host, _, path = rest.partition("/")
         facts += [f"scheme={scheme}", f"query={'?' in path}", f"depth={path.count('/')}"]
         facts += [f"host={x}" for label in host.split(".") for x in label.split("-")]
-    for f in facts:
-        out[zlib.crc32(f.encode()) % SLOTS] += 1
-    return out
+    return [zlib.crc32(f.encode()) % SLOTS for f in facts]
+
+
+def page_matrix(slots: list) -> np.ndarray:
+    """The page views of documents, from their slots."""
+    sizes = [len(x) for x in slots]
+    cell = np.repeat(np.arange(len(slots)) * SLOTS, sizes) + np.concatenate([*slots, np.zeros(0)]).astype(np.int64)
+    return np.bincount(cell, minlength=len(slots) * SLOTS).reshape(len(slots), SLOTS).astype(np.float64)
 
 
 @dataclass
@@ -124,32 +131,112 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.combined.logit(both), -40, 40)))
 
 
-def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_page: np.ndarray,
-             calibrate: np.ndarray, rounds: int = ROUNDS, share: float = 0.1, sure: float = 0.9) -> Model:
-    """`calibrate` marks the labelled rows kept for calibration and combination."""
+def sure_rows(models: list[Logistic], text: np.ndarray, page: np.ndarray, sure: float) -> dict[tuple[int, int], np.ndarray]:
+    """Per (view that learns, label) the rows whose label the other view is sure of."""
+    p = [1 / (1 + np.exp(-np.clip(m.logit(x), -40, 40))) for m, x in zip(models, (text, page))]
+    return {(v, label): (p[1 - v] >= sure if label else p[1 - v] <= 1 - sure) for v in (0, 1) for label in (0, 1)}
+
+
+def quotas(found: dict[tuple[int, int], int], prior: float, most_added: int) -> dict[tuple[int, int], int]:
+    """How many of the sure rows each view learns from, in the true labels' proportions."""
+    out = {}
+    for v in (0, 1):
+        want = {1: most_added * prior, 0: most_added * (1 - prior)}
+        scale = min(1.0, *(found.get((v, k), 0) / max(want[k], 1e-9) for k in (0, 1)))
+        out |= {(v, k): int(scale * want[k]) for k in (0, 1)}
+    return out
+
+
+class ArrayPool:
+    """Unlabelled documents in memory; each call returns (features, labels) per view."""
+
+    def __init__(self, text: np.ndarray, page: np.ndarray, sure: float = SURE, most_added: int = MOST_ADDED):
+        self.views, self.sure, self.most_added = (text, page), sure, most_added
+
+    def __call__(self, models: list[Logistic], turn: int, prior: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        rows = {k: np.flatnonzero(m) for k, m in sure_rows(models, *self.views, self.sure).items()}
+        most = quotas({k: len(r) for k, r in rows.items()}, prior, self.most_added)
+        rng = np.random.default_rng(turn)
+        picked = {k: np.sort(rng.permutation(r)[: most[k]]) for k, r in rows.items()}
+        return [(np.concatenate([self.views[v][picked[v, k]] for k in (0, 1)]), np.repeat([0.0, 1.0], [most[v, 0], most[v, 1]])) for v in (0, 1)]
+
+
+class TablePool:
+    """Unlabelled documents of a stored table (id, text binary, slots binary); a round scores all of them where they lie.
+
+    A round takes two passes: the first counts the sure rows, the second fetches
+    those of them whose hash, another one each round, is below the share that
+    the quotas leave; some more are fetched, and the smallest hashes are taken.
+    """
+
+    SPACE = 1 << 62
+
+    def __init__(self, table: DataFrame, sure: float = SURE, most_added: int = MOST_ADDED):
+        self.table, self.sure, self.most_added = table, sure, most_added
+
+    def __call__(self, models: list[Logistic], turn: int, prior: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        sure, place = self.sure, F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(self.SPACE)).alias("place")
+        rows = self.table.select("text", "slots", place)
+
+        def scored(batches: Iterator[pa.RecordBatch]):
+            for batch in batches:
+                if batch.num_rows:
+                    text, slots = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                    marks = sure_rows(models, *features(text, slots), sure)
+                    yield batch, text, slots, batch.column(2).to_numpy(zero_copy_only=False), marks
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for *_, marks in scored(batches):
+                yield pa.RecordBatch.from_pylist([{"v": v, "label": k, "n": int(m.sum())} for (v, k), m in marks.items()], pa.schema([("v", pa.int32()), ("label", pa.int32()), ("n", pa.int64())]))
+
+        found = {(r.v, r.label): r.n for r in map_arrow(rows, count, "v int, label int, n long").groupBy("v", "label").agg(F.sum("n").alias("n")).collect()}
+        most = quotas(found, prior, self.most_added)
+        # about sqrt(n) more than asked for, so that hardly ever one is missing
+        below = {k: int(self.SPACE * min(1.0, (n + 4 * n**0.5) / max(1, found.get(k, 0)))) for k, n in most.items()}
+
+        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = pa.schema([("v", pa.int32()), ("label", pa.int32()), ("place", pa.int64()), ("x", pa.binary())])
+            for _, text, slots, places, marks in scored(batches):
+                out = [
+                    {"v": v, "label": k, "place": int(places[i]), "x": (text, slots)[v][i]}
+                    for (v, k), m in marks.items() for i in np.flatnonzero(m & (places < below[v, k]))
+                ]
+                yield pa.RecordBatch.from_pylist(out, names)
+
+        got: dict[tuple[int, int], list] = {k: [] for k in most}
+        for r in map_arrow(rows, fetch, "v int, label int, place long, x binary").collect():  # at most a few more than 2 * most_added
+            got[r.v, r.label].append((r.place, bytes(r.x)))
+        out = []
+        for v in (0, 1):
+            taken = [(x, float(k)) for k in (0, 1) for _, x in sorted(got[v, k])[: most[v, k]]]
+            data = [x for x, _ in taken]
+            x = features(data, [b""] * len(data))[0] if v == 0 else features([], data)[1]
+            out.append((x, np.array([k for _, k in taken])))
+        return out
+
+
+def features(text: list[bytes], slots: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The views of stored rows."""
+    x = np.frombuffer(b"".join(text), dtype=np.float16).astype(np.float64).reshape(-1, N_TEXT)
+    return x, page_matrix([np.frombuffer(s, dtype=np.uint16) for s in slots])
+
+
+def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, calibrate: np.ndarray, pool=None, rounds: int = ROUNDS) -> Model:
+    """`calibrate` marks the labelled rows kept for calibration and combination; `pool` (ArrayPool, TablePool or None)
+    returns, for the views' classifiers, each view's pseudo-labelled rows of a round."""
     learn = ~calibrate
     prior = float(y.mean()) if len(y) else 0.5
     if not len(y) or min(y[learn].sum(), (1 - y[learn]).sum(), y[calibrate].sum(), (1 - y[calibrate]).sum()) == 0:
         flat = lambda n: Logistic(np.zeros(n + 1))
         combined = Logistic(np.array([0.0, 0.0, np.log((prior * len(y) + 1) / ((1 - prior) * len(y) + 1))]))
         return Model(flat(text.shape[1]), flat(page.shape[1]), ((1.0, 0.0), (1.0, 0.0)), combined)
-    views, pools = (text[learn], page[learn]), (pool_text, pool_page)
-    added: list[dict[int, float]] = [{}, {}]  # per view: pool rows and the labels that the other view gave them
-    models: list[Logistic] = []
+    views = (text[learn], page[learn])
+    added = [(x[:0], y[:0]) for x in views]
     for turn in range(rounds + 1):
-        models = []
-        for v in (0, 1):
-            rows = np.array(sorted(added[v]), dtype=np.int64)
-            x = np.concatenate([views[v], pools[v][rows]])
-            models.append(Logistic.fit(x, np.concatenate([y[learn], [added[v][i] for i in rows]])))
-        if turn == rounds or not len(pool_text):
+        models = [Logistic.fit(np.concatenate([x, more]), np.concatenate([y[learn], labels])) for x, (more, labels) in zip(views, added)]
+        if turn == rounds or pool is None:
             break
-        for v in (0, 1):
-            p = 1 / (1 + np.exp(-np.clip(models[v].logit(pools[v]), -40, 40)))
-            most = int(share * len(p))
-            for label, q, n in ((1.0, p, round(most * prior)), (0.0, 1 - p, round(most * (1 - prior)))):
-                order = [i for i in np.argsort(-q, kind="stable") if i not in added[1 - v]][:n]
-                added[1 - v] |= {int(i): label for i in order if q[i] >= sure}
+        added = pool(models, turn, prior)
     logits, scaled, calibration = [m.logit(x[calibrate]) for m, x in zip(models, (text, page))], [], []
     for z in logits:
         spread = max(float(z.std()), 1e-6)
@@ -161,7 +248,7 @@ def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, pool_text: np.nd
 
 
 def measured(docs: DataFrame, weights: np.ndarray | None, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """Compact rows (id, lang, source, n_chars, n_lines, text_logit, and the text view where `weights` is None)."""
+    """Compact rows (id, lang, source, n_chars, n_lines, text_logit, and the half-precision text view where `weights` is None)."""
     kind = docs.schema[id_col].dataType.simpleString()
     full = weights is None
 
@@ -173,10 +260,10 @@ def measured(docs: DataFrame, weights: np.ndarray | None, id_col: str, text_col:
                 x = np.stack([text_view(t) for t in texts])
                 logit = np.zeros(len(texts)) if full else x @ weights[:-1] + weights[-1]
                 columns = [*(part.column(k) for k in range(3)), pa.array([len(t) for t in texts], pa.int64()), pa.array([t.count("\n") + 1 for t in texts], pa.int64()),
-                           pa.array(logit, pa.float64()), pa.array(list(x) if full else [None] * len(texts), pa.list_(pa.float32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "lang", "source", "n_chars", "n_lines", "text_logit", "view"])
+                           pa.array(logit, pa.float64()), pa.array([v.tobytes() for v in x.astype(np.float16)] if full else [None] * len(texts), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "lang", "source", "n_chars", "n_lines", "text_logit", "text"])
 
-    schema = f"id {kind}, lang string, source string, n_chars long, n_lines long, text_logit double, view array<float>"
+    schema = f"id {kind}, lang string, source string, n_chars long, n_lines long, text_logit double, text binary"
     return map_arrow(docs.select(id_col, lang_col, source_col, text_col), run, schema)
 
 
@@ -185,45 +272,51 @@ def _with_pages(rows: DataFrame, pages: DataFrame, page_id: str, url_col: str) -
     return rows.join(urls, rows.id == urls.page, "left").drop("page")
 
 
+def viewed(rows: DataFrame, pages: DataFrame, page_id: str, url_col: str) -> DataFrame:
+    """(id, text, slots) of rows of `measured`: both views in their stored form."""
+    joined = _with_pages(rows, pages, page_id, url_col).select("id", "text", "source", "lang", "n_chars", "n_lines", "url")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = [np.array(page_slots(*facts), dtype=np.uint16).tobytes() for facts in zip(*(batch.column(k).to_pylist() for k in range(2, 7)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(slots, pa.binary())], ["id", "text", "slots"])
+
+    return map_arrow(joined, run, f"id {rows.schema['id'].dataType.simpleString()}, text binary, slots binary")
+
+
 def train(docs: DataFrame, labels: DataFrame, pages: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           source_col: str = "source", label_col: str = "quality", page_id: str = "page_id", url_col: str = "url",
-          most_labelled: int = MOST_LABELLED, most_pooled: int = MOST_POOLED, rounds: int = ROUNDS) -> Model:
-    """Fits on a bounded sample; the fold `held_out` is never used, not even unlabelled."""
+          most_labelled: int = MOST_LABELLED, most_added: int = MOST_ADDED, rounds: int = ROUNDS) -> Model:
+    """Fits on bounded samples; the fold `held_out` is never used, not even unlabelled."""
     ids = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("i"))
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("j")).agg(F.min(label_col).cast("int").alias("y"))
-    joined = ids.join(marks, ids.i == marks.j, "left").select("i", "y")
-    counts = {r.known: r["count"] for r in joined.groupBy(F.col("y").isNotNull().alias("known")).count().collect()}
-    picked = {}
-    for known, n in ((True, most_labelled), (False, most_pooled)):
-        if known in counts:
-            picked |= {r.i: r.y for r in hash_sample(joined.where(F.col("y").isNotNull() == known), "i", n, counts[known])}
+    known = ids.join(marks, ids.i == marks.j).select("i", "y")
+    picked = {r.i: r.y for r in hash_sample(known, "i", most_labelled, known.count())}
     if not picked:
-        return co_train(*[np.zeros((0, N_TEXT)), np.zeros((0, SLOTS)), np.zeros(0)], np.zeros((0, N_TEXT)), np.zeros((0, SLOTS)), np.zeros(0, bool))
-    # at most most_labelled + most_pooled ids and their features
+        return co_train(np.zeros((0, N_TEXT)), np.zeros((0, SLOTS)), np.zeros(0), np.zeros(0, bool))
+    views = lambda part: viewed(measured(part, None, id_col, text_col, lang_col, source_col), pages, page_id, url_col)
+    # at most most_labelled ids and their features
     chosen = docs.sparkSession.createDataFrame([(i,) for i in picked], f"i {docs.schema[id_col].dataType.simpleString()}")
-    sample = docs.join(F.broadcast(chosen), docs[id_col] == chosen.i, "left_semi")
-    rows = _with_pages(measured(sample, None, id_col, text_col, lang_col, source_col), pages, page_id, url_col).collect()
+    rows = views(docs.join(F.broadcast(chosen), docs[id_col] == chosen.i, "left_semi")).collect()
     rows = sorted({r.id: r for r in rows}.values(), key=lambda r: r.id)
-    text = np.array([r.view for r in rows], dtype=np.float64).reshape(-1, N_TEXT)
-    page = np.array([page_view(r.source, r.lang, r.n_chars, r.n_lines, r.url) for r in rows], dtype=np.float64).reshape(-1, SLOTS)
-    known = np.array([picked[r.id] is not None for r in rows])
-    y = np.array([picked[r.id] for r in rows if picked[r.id] is not None], dtype=np.float64)
-    calibrate = np.array([zlib.crc32(f"{r.id}/calibrate".encode()) % 3 == 0 for r in rows])[known]
-    return co_train(text[known], page[known], y, text[~known], page[~known], calibrate, rounds)
+    text, page = features([bytes(r.text) for r in rows], [bytes(r.slots) for r in rows])
+    y = np.array([picked[r.id] for r in rows], dtype=np.float64)
+    calibrate = np.array([zlib.crc32(f"{r.id}/calibrate".encode()) % 3 == 0 for r in rows])
+    others = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).join(marks, docs[id_col] == marks.j, "left_anti")
+    return co_train(text, page, y, calibrate, TablePool(cut(views(others)), most_added=most_added) if rounds else None, rounds)
 
 
 def score(docs: DataFrame, pages: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           source_col: str = "source", page_id: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, text_logit, score) of every row.  Texts are not shuffled: only compact rows meet the pages."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = measured(docs, model.text.weights, id_col, text_col, lang_col, source_col).drop("view")
+    rows = measured(docs, model.text.weights, id_col, text_col, lang_col, source_col).drop("text")
     joined = _with_pages(rows, pages, page_id, url_col).select("id", "source", "lang", "n_chars", "n_lines", "url", "text_logit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                columns = [batch.column(k).to_pylist() for k in range(1, 6)]
-                page = np.stack([page_view(*facts) for facts in zip(*columns)])
+                page = page_matrix([page_slots(*facts) for facts in zip(*(batch.column(k).to_pylist() for k in range(1, 6)))])
                 text_logit = batch.column(6).to_numpy(zero_copy_only=False)
                 scores = model.scores(text_logit, page)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(6), pa.array(scores, pa.float64())], [id_col, "text_logit", "score"])
