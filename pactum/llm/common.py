@@ -77,5 +77,30 @@ def hash_sample(df: DataFrame, key: str, n: int, total: int) -> list:
     return found if len(found) == min(n, total) or bound == space else first(df)
 
 
+def hot_bound(rows: int, spark) -> int:
+    """Rows of one key above which a join splits it; at most 4 * partitions keys have more."""
+    return max(1024, rows // (4 * shuffle_partitions(spark)))
+
+
+def hot(values: DataFrame) -> tuple[int, bool]:
+    """For keys with n rows each: the bound of `join_split`, and whether a key exceeds it."""
+    rows, most = values.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    bound = hot_bound(rows, values.sparkSession)
+    return bound, most > bound
+
+
+def join_split(rows: DataFrame, values: DataFrame, key: str, bound: int, any_hot: bool) -> DataFrame:
+    """`rows` joined with `values` (unique `key`, n rows of it, ...) without sending a hot key to one task.
+
+    Keys of more than `bound` rows, whose number the bound limits, are broadcast
+    and meet their rows where these lie; the others are joined by exchange.
+    """
+    if not any_hot:
+        return rows.join(values.drop("n"), key)
+    hot = F.broadcast(values.where(F.col("n") > bound))
+    cold = rows.join(hot.select(key), key, "left_anti").join(values.where(F.col("n") <= bound).drop("n"), key)
+    return rows.join(hot.drop("n"), key).unionByName(cold)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, cut, map_arrow, refuse, shuffle_partitions
+from .common import LAST_ID, cut, hot, join_split, map_arrow, refuse, shuffle_partitions
 
 SEED, BITS, MOST_LISTED = 42, 64, 1 << 15
 _LANES = np.uint64(0x0101010101010101)
@@ -217,31 +217,6 @@ def neighbour_links(fps: DataFrame, distance: int) -> DataFrame:
     return grouped.select(F.inline(pairs)).distinct()
 
 
-def _hot_bound(rows: int, spark) -> int:
-    """Rows of one key above which a join splits it; at most 4 * partitions keys have more."""
-    return max(1024, rows // (4 * shuffle_partitions(spark)))
-
-
-def _hot(values: DataFrame) -> tuple[int, bool]:
-    """For keys with n rows each: the bound of `join_split`, and whether a key exceeds it."""
-    rows, most = values.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    bound = _hot_bound(rows, values.sparkSession)
-    return bound, most > bound
-
-
-def join_split(rows: DataFrame, values: DataFrame, key: str, bound: int, any_hot: bool) -> DataFrame:
-    """`rows` joined with `values` (unique `key`, n rows of it, ...) without sending a hot key to one task.
-
-    Keys of more than `bound` rows, whose number the bound limits, are broadcast
-    and meet their rows where these lie; the others are joined by exchange.
-    """
-    if not any_hot:
-        return rows.join(values.drop("n"), key)
-    hot = F.broadcast(values.where(F.col("n") > bound))
-    cold = rows.join(hot.select(key), key, "left_anti").join(values.where(F.col("n") <= bound).drop("n"), key)
-    return rows.join(hot.drop("n"), key).unionByName(cold)
-
-
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) for every node of `pairs` (u, v): root is the smallest node reachable."""
     edges = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
@@ -250,7 +225,7 @@ def components(pairs: DataFrame) -> DataFrame:
         # large star: every node hands its larger neighbours to its smallest neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
-        large = join_split(both.where("v > u"), least, "u", *_hot(least))
+        large = join_split(both.where("v > u"), least, "u", *hot(least))
         large = cut(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # small star: every node hands its smaller neighbours, and itself, to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
@@ -269,9 +244,9 @@ def classes(prints: DataFrame, distance: int = 4, most_listed: int = MOST_LISTED
     roots = components(links(first.select("fp"), distance, most_listed))
     rooted = cut(first.join(roots, first.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id", "rows"))
     least = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")))
-    named = join_split(rooted.select("root", "fp", "rows"), least, "root", *_hot(least))
+    named = join_split(rooted.select("root", "fp", "rows"), least, "root", *hot(least))
     named = cut(named.select("fp", "component_id", F.col("rows").alias("n")))
-    return join_split(prints, named, "fp", *_hot(named)).select("id", "fp", "component_id")
+    return join_split(prints, named, "fp", *hot(named)).select("id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, n_words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -410,7 +385,7 @@ def verified_links(groups: DataFrame, texts: DataFrame, index: DataFrame, n_word
     the members outside its largest one are compared with all.
     """
     sizes = cut(groups.groupBy("root").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).withColumn("k", _pieces("n", "b", block)).drop("b"))
-    members = cut(join_split(groups.select("node", "root"), sizes, "root", *_hot(sizes)))
+    members = cut(join_split(groups.select("node", "root"), sizes, "root", *hot(sizes)))
     big = members.where("k > 1")
     first = Window.partitionBy("root").orderBy(F.xxhash64("node"), "node")
     pivots = big.withColumn("place", F.row_number().over(first)).where(F.col("place") <= PIVOTS).select("root", _numbers("k").alias("i"), "node")
@@ -428,7 +403,7 @@ def verified_links(groups: DataFrame, texts: DataFrame, index: DataFrame, n_word
     mixed = cut(mixed.select("key", "n", F.col("top.label").alias("main"), _pieces("n", None, block).alias("k"), _pieces("rest", None, block).alias("r")))
     if mixed.isEmpty():
         return links
-    every = cut(join_split(lists, mixed, "key", *_hot(mixed)))
+    every = cut(join_split(lists, mixed, "key", *hot(mixed)))
     others = every.where("label <> main").select("key", _dealt("r").alias("lo"), _numbers("k").alias("hi"), "node")
     every = every.select("key", _numbers("r").alias("lo"), _dealt("k").alias("hi"), "node")
     rest = every.unionByName(others).withColumnRenamed("key", "root").join(texts, "node")

@@ -4,9 +4,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
-
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from pactum.llm import cotraining, lm_scoring, toxicity
@@ -127,75 +126,152 @@ def test_cotraining_awkward(spark):
     assert cotraining.score(empty(spark), pages, model).count() == 0
 
 
-def brute_likelihood(text, words, net):
-    tokens = text.lower().split()
-    look = words.lookup()
-    _, kinds, spelt = look.batch([text])
-    tables, b1, w2, b2 = (p.astype(float) for p in net.parts)
-    total = 0.0
-    for i in range(len(tokens)):
-        z = b1.copy()
+def brute_network(tokens, words, net):
+    """log P(network) of each token, by plain loops over the parameters."""
+    table, matrices, bias, u1, c1, u2, c2 = (p.astype(float) for p in net.parts)
+    place = {w: i for i, (w, _) in enumerate(words.words)}
+    rank = lambda w: place.get(w, len(place) + xxhash.xxh32_intdigest(w.encode()) % lm_scoring.SLOTS)
+    soft = lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum())
+    out = []
+    for i, w in enumerate(tokens):
+        z = bias.copy()
         for k, o in enumerate(lm_scoring.OFFSETS):
-            z += tables[k][kinds[i + o] if 0 <= i + o < len(kinds) else net.classes]
-        logits = np.tanh(z) @ w2 + b2
-        total += logits[kinds[i]] - logits.max() - np.log(np.exp(logits - logits.max()).sum()) + spelt[i]
-    return len(tokens), total
-
-
-def test_lm_scores_are_sums_of_conditionals(spark):
+            z += table[rank(tokens[i + o]) if 0 <= i + o < len(tokens) else net.pad] @ matrices[k]
+        h, c = np.tanh(z), rank(w) // net.members if w in place else net.classes
+        p = soft(h @ u1 + c1)[c]
+        if w in place:
+            out.append(p + soft(h @ u2[c] + c2[c])[rank(w) % net.members])
+        else:
+            out.append(p + sum(words.chars.get(x, words.other_char) for x in [*w, ""]))
+    return out
+
+
+def brute_scores(texts, words, net, cells, share):
+    """Sums per text of the network mixed with counts of (left, word, right) over all texts."""
+    split = [(t or "").lower().split() for t in texts]
+    around = lambda x, i: (x[i - 1] if i else None, x[i + 1] if i + 1 < len(x) else None)
+    triples = Counter((around(x, i), w) for x in split for i, w in enumerate(x))
+    pairs = Counter(around(x, i) for x in split for i in range(len(x)))
+    hashed = lambda w: 0 if w is None else xxhash.xxh64_intdigest(w.encode())
+    out = []
+    for x in split:
+        total = 0.0
+        for i, (w, p) in enumerate(zip(x, brute_network(x, words, net))):
+            left, right = around(x, i)
+            line = np.array([hashed(left) if left else 0, 0, hashed(right) if right else 0], dtype=np.uint64)
+            key = lm_scoring.cell_keys(np.array([3]), line)[1]
+            n, of = triples[(left, right), w], pairs[left, right]
+            if of > 1 and int(key) < (1 << 64) // cells:
+                p = np.log(share * (n - 1) / (of - 1) + (1 - share) * np.exp(p)) if n > 1 else p + np.log(1 - share)
+            total += p
+        out.append((len(x), total))
+    return out
+
+
+@pytest.mark.parametrize("hot", [None, 3])
+def test_lm_scores_are_sums_of_conditionals(spark, monkeypatch, hot):
+    """The whole result against plain loops, with hot cells counted the other way as well."""
+    if hot:
+        monkeypatch.setattr(lm_scoring, "hot_bound", lambda *_: hot)
+        monkeypatch.setattr(lm_scoring, "max", min, raising=False)
     docs = awkward(spark, extra=True).where("length(text) < 4000 or text is null")
-    words = lm_scoring.vocabulary(docs, most_words=40, classes=8)
-    net = lm_scoring.train(docs, words, classes=8, hidden=4)
-    for r in lm_scoring.score(docs.dropDuplicates(["doc_id"]), words, net).join(docs.dropDuplicates(["doc_id"]).select("doc_id", "text"), "doc_id").collect():
-        n, total = brute_likelihood(r.text or "", words, net)
-        assert r.n_tokens == n and r.log_likelihood == pytest.approx(total, rel=1e-3, abs=1e-3)
+    words = lm_scoring.vocabulary(docs, most_words=40)
+    net = lm_scoring.train(docs, words, classes=8, members=5, hidden=4)
+    for cells in (1, 3):
+        got = lm_scoring.score(docs, words, net, cells=cells).collect()
+        texts = [(r.doc_id, r.text) for r in docs.collect()]
+        want = brute_scores([t for _, t in texts], words, net, cells, lm_scoring.SHARE)
+        key = lambda x: (x[0] is None, x[0] or 0, x[1], round(x[2], 3))
+        for g, w in zip(sorted([tuple(r) for r in got], key=key), sorted([(i, *w) for (i, _), w in zip(texts, want)], key=key), strict=True):
+            assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], rel=1e-3, abs=1e-2)
     assert lm_scoring.score(empty(spark), words, net).count() == 0
-    assert lm_scoring.train(empty(spark), lm_scoring.vocabulary(empty(spark))).flat.shape == lm_scoring.Network().flat.shape
+    none = lm_scoring.vocabulary(empty(spark))
+    assert lm_scoring.train(empty(spark), none).flat.shape == lm_scoring.Network(none).flat.shape
 
 
 def test_lm_vocabulary_counts_everything(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     counts = Counter(w for r in read(sf_dir, "documents") for w in r["text"].lower().split())
+    assert {r.word: r.n for r in lm_scoring.count_words(docs, "text", most_held=100).collect()} == counts
     words = lm_scoring.vocabulary(docs, most_words=500)
-    want = {w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:500]}
-    assert set(words.words) == want
-    for k in {kind for kind, _ in words.words.values()}:
-        own = [(w, p) for w, (kind, p) in words.words.items() if kind == k]
-        assert sum(np.exp(p) for _, p in own) == pytest.approx(1)
+    assert words.words == sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:500]
+    assert words.others == sum(counts.values()) - sum(n for _, n in words.words)
 
 
-def test_lm_prefers_order(spark, sf_dir):
-    """Shuffled words lose: the network has learnt from both sides, beyond word frequencies."""
-    docs = spark.createDataFrame([(i, "alpha beta gamma delta " * 30) for i in range(60)], "doc_id long, text string")
+def test_lm_gradient_is_the_losss():
+    """Against finite differences, parameter by parameter."""
+    words = lm_scoring.Vocabulary([(f"w{i}", 20 - i) for i in range(11)], 7)
+    net = lm_scoring.Network(words, classes=4, members=3, hidden=3, seed=2)
+    rng = np.random.default_rng(0)
+    ranks = np.r_[np.arange(11), 11 + rng.integers(0, lm_scoring.SLOTS, 9)]
+    context = rng.choice(np.r_[ranks, net.pad], (20, 4))
+    got, flat = net.gradient(context, ranks), net.flat.copy()
+    loss = lambda x: -net.load(x).log_p(context, ranks).mean()
+    some = np.r_[np.flatnonzero(got)[::7], len(flat) - 40 : len(flat)]
+    for i in some:
+        a, b = flat.copy(), flat.copy()
+        a[i], b[i] = a[i] + 1e-2, b[i] - 1e-2
+        assert got[i] == pytest.approx((loss(a) - loss(b)) / 2e-2, abs=2e-3)
+
+
+def test_lm_training_is_the_plain_one(spark, sf_dir):
+    """On one partition: the shipped loop equals plain steps over all tokens in order, and each step lowers the loss overall."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 2000").limit(60).coalesce(1).cache()
+    texts = [r.text for r in docs.select("text").collect()]
+    words = lm_scoring.vocabulary(docs, most_words=64)
+    net = lm_scoring.train(docs, words, classes=8, members=8, hidden=4, batch=512)
+    own, look = lm_scoring.Network(words, 8, 8, 4), words.lookup()
+    start, squares, context, rank = own.copy(), np.full_like(own.flat, 1e-6), [], []
+    for t in texts:
+        x = [look.rank[look[w]] for w in t.lower().split()]
+        line = [own.pad, own.pad, *x, own.pad, own.pad]
+        context += [[line[i + 2 + o] for o in lm_scoring.OFFSETS] for i in range(len(x))]
+        rank += x
+    context, rank = np.array(context), np.array(rank)
+    for a in range(0, len(rank), 512):
+        own.step(context[a : a + 512], rank[a : a + 512], 0.05, squares)
+    assert len(rank) < 60 * 400 and np.allclose(net.flat, own.flat, atol=1e-4)
+    assert net.log_p(context, rank).mean() > start.log_p(context, rank).mean() + 0.01
+    docs.unpersist()
+
+
+def test_lm_prefers_order(spark):
+    """The network alone: shuffled words lose, beyond word frequencies, with the shipped settings."""
+    docs = spark.createDataFrame([(i, "alpha beta gamma delta " * 300) for i in range(60)], "doc_id long, text string")
     words = lm_scoring.vocabulary(docs)
-    net = lm_scoring.train(docs, words, rounds=3, stride=1)
+    net = lm_scoring.train(docs, words)
     pair = spark.createDataFrame([(0, "alpha beta gamma delta " * 20), (1, "delta beta alpha gamma gamma alpha delta beta " * 10)], "doc_id long, text string")
-    s = {r.doc_id: r.log_likelihood for r in lm_scoring.score(pair, words, net).collect()}
+    s = {r.id: r.log_p for r in lm_scoring.network_scores(pair, words, net, "doc_id", "text").collect()}
     assert s[0] > s[1] + 10
 
 
-def test_lm_trains_on_every_token(spark, monkeypatch):
-    """In each round of the settings in use every token is a target, in texts of any length."""
-    seen = []
-    monkeypatch.setattr(lm_scoring.Network, "step", lambda self, context, target, *_: seen.append(target.copy()))
-    monkeypatch.setattr(lm_scoring, "map_arrow", lambda df, run, schema: spark.createDataFrame(pa.Table.from_batches(run(iter(df.toArrow().to_batches())))))
-    monkeypatch.setattr(lm_scoring, "cut", lambda df: df)
-    texts = [" ".join(f"w{k}" for k in range(n)) for n in (0, 1, 2, 3, 7, 8, 9, 30)]
-    words = lm_scoring.Vocabulary({f"w{k}": (k, 0.0) for k in range(30)}, {"": 0.0}, 0.0, 30)
-    lm_scoring.train(spark.createDataFrame([(t,) for t in texts], "text string"), words, classes=31, hidden=2)
-    want = Counter(int(w[1:]) for t in texts for w in t.split())
-    assert Counter(np.concatenate(seen).tolist()) == Counter({k: n * lm_scoring.ROUNDS for k, n in want.items()})
+def test_lm_knows_documents_that_occur_twice(spark, sf_dir):
+    """Of texts that occur once and texts that occur twice, the latter score higher: the memory counts without the token itself."""
+    texts = [r["text"] for r in read("/root/testdata/sf0.01", "documents") if 300 < len(r["text"]) < 6000]
+    texts = list(dict.fromkeys(texts))[:400]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(texts[:40])], "doc_id long, text string")
+    words = lm_scoring.vocabulary(docs)
+    rows = lm_scoring.score(docs, words, lm_scoring.train(docs, words)).collect()
+    mean = {r.doc_id: r.log_likelihood / max(1, r.n_tokens) for r in rows}
+    once = sorted(mean[i] for i in range(40, len(texts)))
+    bar = once[int(0.9 * len(once))]
+    assert sum(mean[i] > bar for i in range(40)) >= 28
 
 
-def test_lm_lookup_spells_rare_words():
-    words = lm_scoring.Vocabulary({"a": (0, -0.1), "b": (1, -0.2)}, {"": -1.0, "x": -2.0}, -3.0, 2)
-    texts = ["a b x xx xxx", "", "A Y1 y2", " ".join(f"q{i}😀" for i in range(40)) + " b", "xx a"]
-    sizes, kinds, log_p = words.lookup().batch(texts)
+def test_lm_lookup(spark):
+    words = lm_scoring.Vocabulary([("a", 5), ("b", 3)], 4, {"": -1.0, "x": -2.0}, -3.0)
+    look = words.lookup()
+    texts = ["a b x xx xxx", "", "A Y1 y2", " ".join(f"q{i}😀" for i in range(70_000)) + " b", "xx a \x85 \x1c İ"]
+    sizes, numbers = look.batch(texts)
     flat = [w for t in texts for w in t.lower().split()]
-    assert list(sizes) == [len(t.split()) for t in texts]
-    for w, k, p in zip(flat, kinds, log_p, strict=True):
-        want = words.words.get(w, (2, -1.0 + sum(words.chars.get(c, -3.0) for c in w)))
-        assert (k, p) == (want[0], pytest.approx(want[1]))
+    assert list(sizes) == [len(t.lower().split()) for t in texts] and len(numbers) == len(flat)
+    for w, i in list(zip(flat, numbers, strict=True))[::97]:
+        if w in ("a", "b"):
+            assert (look.rank[i], look.spelt[i]) == ("ab".index(w), 0.0)
+        else:
+            assert look.rank[i] == 2 + xxhash.xxh32_intdigest(w.encode()) % lm_scoring.SLOTS
+            assert look.spelt[i] == pytest.approx(-1.0 + sum(words.chars.get(c, -3.0) for c in w))
+        assert look.hash[i] == xxhash.xxh64_intdigest(w.encode())
 
 
 def test_hash_sample_is_the_start_of_one_order(spark):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from pactum.llm import simhash
+from pactum.llm import common, simhash
 from pactum.llm.queries import QUERIES
 
 from .cases import awkward, empty, read
@@ -122,7 +122,7 @@ def test_index_is_a_plain_tally(spark):
 
 
 def test_hot_keys_are_split(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "_hot_bound", lambda rows, _: 5)
+    monkeypatch.setattr(common, "hot_bound", lambda rows, _: 5)
     star = [(0, i) for i in range(1, 60)] + [(100, 101), (101, 102), (59, 61)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(star, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(1, 60)}, 61: 0, 101: 100, 102: 100}
