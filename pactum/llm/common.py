@@ -44,8 +44,13 @@ def text_crc32(text: Column) -> Column:
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """`mapInArrow`, with this package on the path of Python workers even if the session was started elsewhere."""
+    """`mapInArrow`, with this package on the path of Python workers even if the session was started elsewhere.
+
+    A worker's linear algebra takes one thread: tasks are what runs in parallel,
+    and threads that wait for each other on small matrices double the CPU time.
+    """
     environment = df.sparkSession.sparkContext.environment
+    environment |= {"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"}
     known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in known:
         environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *known])
