@@ -27,6 +27,7 @@ from __future__ import annotations
 import base64
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import public_tokenizers
@@ -44,16 +45,30 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+@cache  # one per Python worker, for all its tasks
+def _ranks(path: str) -> tuple[dict[bytes, int], list[bytes]]:
+    """The ranks, and the bytes of each token."""
+    ranks = read_ranks(path)
+    token_bytes = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        token_bytes[rank] = token
+    return ranks, token_bytes
+
+
+@cache
+def _encoder(path: str, pattern: str):
+    import tiktoken
+
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=_ranks(path)[0], special_tokens={}).encode_ordinary
+
+
 class TreeCodec:
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, leaf_chars: int = LEAF_CHARS):
-        import tiktoken
-
-        ranks = read_ranks(path)
-        self.leaf = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.leaf_chars = max(2, leaf_chars)
-        self.token_bytes = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.token_bytes[rank] = token
+        self.path, self.pattern, self.leaf_chars = path, pattern, max(2, leaf_chars)
+        self.token_bytes = _ranks(path)[1]
+
+    def leaf(self, text: str) -> list[int]:
+        return _encoder(self.path, self.pattern)(text)  # decoding alone builds none
 
     def encode(self, text: str) -> list[int]:
         return self._span(text, 0, len(text))

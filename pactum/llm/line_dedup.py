@@ -18,7 +18,8 @@ Defined results
 * Repeated rows of one id and text get the same bitmap; occurrences inside the
   smallest document all stay.
 * Other columns pass through `apply_bitmaps` untouched, but a given kept_text,
-  n_lines or n_dropped is replaced; `__`-prefixed names are reserved.
+  n_lines or n_dropped is replaced; `__`-prefixed names are reserved,
+  and refused.
 * Empty tables give empty results.
 """
 
@@ -27,9 +28,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, WS, cut, lower_ascii, shuffle_partitions
+from .common import LAST_ID, WS, cut, lower_ascii, refuse, shuffle_partitions
 
-BUCKETS = 1 << 16
+LEAST_BUCKETS = 1 << 16
 
 
 def line_key(line: Column) -> Column:
@@ -52,14 +53,20 @@ def hashed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     )
 
 
+def bucket_count(parts: int) -> int:
+    """Buckets of hashes (a power of two): so many that an average one is far below a partition's share of lines."""
+    return max(LEAST_BUCKETS, 1 << (64 * parts).bit_length())
+
+
 def _firsts_of_hot(lines: DataFrame, most: int) -> DataFrame | None:
     """First documents of the hashes with more than `most` lines; at most lines / most rows."""
-    bucket = F.col("k1").bitwiseAND(F.lit(BUCKETS - 1))
-    full = [r[0] for r in lines.groupBy(bucket.alias("b")).count().where(F.col("count") > most).collect()]
-    if not full:
+    spark = lines.sparkSession
+    bucket = F.col("k1").bitwiseAND(F.lit(bucket_count(shuffle_partitions(spark)) - 1))
+    full = cut(lines.groupBy(bucket.alias("b")).count().where(F.col("count") > most).select("b"))  # at most lines / most rows
+    if full.isEmpty():
         return None
     return (
-        lines.where(bucket.isin(full))
+        lines.join(F.broadcast(full), bucket == F.col("b"), "left_semi")
         .groupBy("k1", "k2")
         .agg(F.min("doc").alias("first_doc"), F.count("*").alias("n"))
         .where(F.col("n") > most)
@@ -100,6 +107,7 @@ def keep_bitmaps(
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of `docs`, with kept_text, n_lines and n_dropped."""
+    refuse(docs, "__")
     marked = docs.withColumns(
         {"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), "__version": F.xxhash64(text_col)}
     )

@@ -17,7 +17,8 @@ proper beginnings of 4 to 7 letters.
 
 The model is fitted on the driver, in numpy, on a bounded sample of labelled
 documents: at most `most_toxic` and `most_clean` of them (by a hash of the id,
-whatever the order of rows), reweighted to the shares that all labelled
+whatever the order of rows), and of each class whole texts of `most_bytes` at
+most, in that order and one at least, reweighted to the shares that all labelled
 documents have.  The `most_features` features most associated with the label
 are used, so the model that is sent to the executors is small and bounded.
 Every document's whole text is scored.
@@ -47,7 +48,7 @@ from pyspark.sql import functions as F
 
 from .common import hash_sample, map_arrow
 
-MOST_TOXIC, MOST_CLEAN, MOST_FEATURES = 1500, 3000, 4000
+MOST_TOXIC, MOST_CLEAN, MOST_FEATURES, MOST_BYTES = 1500, 3000, 4000, 64 << 20
 PREFIXES = (4, 5, 6, 7)
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -161,20 +162,26 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None,
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Model:
+          most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_bytes: int = MOST_BYTES) -> Model:
     """Fits the model on labelled rows outside the held-out fold; see the module's text for the bounds."""
     known = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
         .groupBy(F.col(id_col).cast("long").alias("id"))
         .agg(F.max(label_col).cast("int").alias("y"))
-        .join(docs.select(F.col(id_col).cast("long").alias("id")), "id", "left_semi")
+        .join(docs.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.coalesce(F.max(F.octet_length(text_col)), F.lit(0)).alias("size")), "id")
     )
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     classes = ((1, most_toxic), (0, most_clean))
-    picked = [(r.id, r.y) for y, n in classes if y in counts for r in hash_sample(known.where(F.col("y") == y), "id", n, counts[y])]
+    picked = []
+    for y, n in classes:
+        held = 0
+        for r in hash_sample(known.where(F.col("y") == y), "id", n, counts[y]) if y in counts else ():
+            if held + r.size <= most_bytes or not held:
+                picked.append((r.id, r.y))
+            held += r.size
     if not picked:
         return fit([], [])
-    ids = docs.sparkSession.createDataFrame(picked, "id long, y int")  # at most most_toxic + most_clean rows
+    ids = docs.sparkSession.createDataFrame(picked, "id long, y int")  # at most most_toxic + most_clean rows, 2 * most_bytes of text
     rows = (
         docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         .join(F.broadcast(ids), "id")

@@ -1,5 +1,7 @@
 """Learnt operators: held-out accuracy, and their behaviour on awkward rows."""
 
+import math
+import re
 import zlib
 from collections import Counter
 
@@ -8,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pactum.llm import cotraining, lm_scoring, toxicity
+from pactum.llm import cotraining, lm_scoring, simhash, toxicity
 from pactum.llm.common import hash_sample
 from pactum.llm.queries import QUERIES
 
@@ -49,12 +51,58 @@ def test_toxicity_locates_sentences():
     assert model.scorer().score("Calm words here. Calm again.")[0] < 0.2
 
 
+def test_toxicity_scores_are_noisy_ors(spark):
+    """Every score of the table against plain loops over the fitted weights, from documented formulas."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    got = {r.doc_id: r for r in QUERIES["op3_toxicity"](spark, d).collect()}
+    spans = {r.doc_id: r.offending for r in toxicity.score(docs, model).collect()}
+    for d in read(d, "documents"):
+        clean, found = 1 - model.leak, []
+        for m in re.finditer(r"[^.!?\n]+[.!?]*", d["text"] or ""):
+            words = re.findall(r"[^\W\d_]+", m.group().lower())
+            w = sum(model.weights.get(f, 0) for x in words for f in [x, *(x[:n] + "*" for n in (4, 5, 6, 7) if len(x) > n)])
+            p = 1 - (1 + math.exp(model.bias)) / (1 + math.exp(model.bias + w)) if w > 0 else 0.0
+            clean *= 1 - p
+            if p >= 0.5:
+                found.append((m.start(), m.end()))
+        assert got[d["doc_id"]].score == pytest.approx(1 - clean, abs=1e-9)
+        assert [(s.start, s.end) for s in spans[d["doc_id"]]] == found
+    assert any(spans.values())
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, *_: taken.append(texts))
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("long text "), 1000).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    for most, want in ((50_000, 10), (10, 2), (1 << 30, 48)):
+        toxicity.train(docs, labels, most_bytes=most)
+        assert abs(len(taken[-1]) - want) <= (6 if want == 48 else 0)
+
+
+def test_texts_of_several_megabytes(spark):
+    """Learnt operators take whole texts of any length."""
+    long = " ".join(f"word{i % 5000} and you" for i in range(200_000)) + " end."
+    docs = spark.createDataFrame([(1, long, "en", "s", len(long)), (2, "x" * 3_000_000, "en", "s", 3_000_000), (3, "short text here.", "en", "s", 16)], "doc_id long, text string, lang string, source string, n_chars long")
+    pages = spark.createDataFrame([(1, "http://x/y")], "page_id long, url string")
+    assert toxicity.score(docs, toxicity.Model(-5.0, weights={"end": 9.0})).where("score > 0.5").count() == 1
+    assert cotraining.score(docs, pages, cotraining.train(docs, spark.createDataFrame([(3, 1)], "doc_id long, quality int"), pages)).count() == 3
+    words = lm_scoring.vocabulary(docs)
+    rows = {r.doc_id: r for r in lm_scoring.score(docs, words, lm_scoring.train(docs, words)).collect()}
+    assert rows[1].n_tokens == 600_001 and rows[1].log_likelihood < 0
+    copies = docs.select((F.col("doc_id") + 10).alias("doc_id"), F.concat("text", F.lit(" more")).alias("text"), "lang", "source", "n_chars")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs.union(copies)).collect()) == [1, 2, 3, 12, 13]
+
+
 def test_toxicity_awkward(spark):
     docs = awkward(spark, extra=True)
     labels = spark.createDataFrame([(1, None), (None, 1), (3, 1), (3, 0), (4, 0)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
     rows = toxicity.score(docs, model).collect()
-    assert len(rows) == docs.count() and all(0 <= r.score < 0.5 or r.id for r in rows if r.score < 0.5)
+    assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
+    assert all(r.score == pytest.approx(model.leak) and not r.offending for r in rows if r.doc_id in (0, 1, 2))  # no sentence
     assert toxicity.train(docs, labels.where("false")).weights == {}
     kept = toxicity.keep_clean(docs, toxicity.Model(-5.0))
     assert kept.columns == docs.columns and kept.count() == docs.count()

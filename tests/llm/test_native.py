@@ -55,6 +55,17 @@ def test_line_dedup_awkward(spark, least_hot):
     same(got, brute_lines([r.asDict() for r in docs.collect()]))
 
 
+def test_line_dedup_buckets_follow_the_partitions():
+    """An average bucket stays below the bound of a hot hash, a quarter of a partition's share of lines."""
+    for parts in (1, 8, 2000, 16_384, 200_000):
+        assert line_dedup.bucket_count(parts) >= 16 * 4 * parts or parts < 1025 and line_dedup.bucket_count(parts) >= 1 << 16
+
+
+def test_line_dedup_refuses_reserved_names(spark):
+    with pytest.raises(ValueError, match="reserved"):
+        line_dedup.dedup_lines(awkward(spark).withColumn("__doc", F.lit(1)))
+
+
 def test_line_dedup_empty(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
