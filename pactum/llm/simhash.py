@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 4, distance: int = 4, id_col
 
 BANDS, BAND_ROWS = 32, 4  # two texts of similarity s share a band with probability 1 - (1 - s ** 4) ** 32
 CHECKED_DISTANCE = 32  # of the sketches' 128 bits; at a similarity of 0.8 12.8 differ on average
-BLOCK, BLOCK_BYTES, PIVOTS = 128, 8 << 20, 16
+BLOCK, BLOCK_BYTES, PIVOTS = 4096, 16 << 20, 16
 _HASHES = BANDS * BAND_ROWS
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, _HASHES, dtype=np.uint32) | np.uint32(1)
 
@@ -373,30 +373,39 @@ def _dealt(k: str) -> Column:
     return F.pmod(F.xxhash64("node"), F.col(k))
 
 
+def _with_texts(rows: DataFrame, texts: DataFrame, lo: str, hi: str) -> DataFrame:
+    return rows.select("root", F.col(lo).alias("lo"), F.col(hi).alias("hi"), "node").join(texts, "node")
+
+
 def verified_links(groups: DataFrame, texts: DataFrame, index: DataFrame, n_words: int, similarity: float, block: int) -> DataFrame:
     """Links (u, v) with the components of all pairs at the similarity that share a list or a small candidate group.
 
     groups: (node, root, bytes) of candidate groups; texts: (node, t) of their
     members; index: (key, node), the candidate lists.  Groups of up to `block`
-    texts are verified whole.  A larger one is dealt into blocks, each verified
-    whole together with the group's `PIVOTS` pivots, so every text travels once
-    and tight families join through their pivots.  What is left are pairs that
-    share a list and are not yet joined: of each list with several components
-    the members outside its largest one are compared with all.
+    texts are verified whole, in one task's memory.  A larger one is dealt into
+    blocks, each verified whole together with the group's `PIVOTS` most central
+    members, so every text travels once and families join through their middle.
+    What is left are pairs that share a list and are not yet joined: of each list
+    with several components the members outside its largest one are compared
+    with all, in blocks again.
     """
     sizes = cut(groups.groupBy("root").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).withColumn("k", _pieces("n", "b", block)).drop("b"))
     members = cut(join_split(groups.select("node", "root"), sizes, "root", *hot(sizes)))
     big = members.where("k > 1")
-    first = Window.partitionBy("root").orderBy(F.xxhash64("node"), "node")
-    pivots = big.withColumn("place", F.row_number().over(first)).where(F.col("place") <= PIVOTS).select("root", _numbers("k").alias("i"), "node")
-    dealt = members.select("root", _dealt("k").alias("i"), "node").unionByName(pivots)
-    whole = dealt.join(texts, "node").select("root", F.col("i").alias("lo"), F.col("i").alias("hi"), "node", "t")
-    links = _blocked(whole, n_words, similarity)
+    dealt = members.select("root", _dealt("k").alias("i"), "node")
     if big.isEmpty():
-        return links
+        return _blocked(_with_texts(dealt, texts, "i", "i"), n_words, similarity)
+    lists = cut(index.join(big.select("node"), "node"))
+    # the members whose lists are the longest are nearest to the middle of their group
+    lengths = cut(lists.groupBy("key").agg(F.count("*").alias("n")))
+    degrees = join_split(lists, lengths.withColumn("length", F.col("n")), "key", *hot(lengths)).groupBy("node").agg(F.sum("length").alias("degree"))
+    first = Window.partitionBy("root").orderBy(F.desc("degree"), "node")
+    pivots = big.join(degrees, "node").withColumn("place", F.row_number().over(first)).where(F.col("place") <= PIVOTS)
+    dealt = dealt.unionByName(pivots.select("root", _numbers("k").alias("i"), "node"))
+    links = _blocked(_with_texts(dealt, texts, "i", "i"), n_words, similarity)
     joined = components(links).withColumnsRenamed({"node": "of", "root": "found"})
     labels = big.join(joined, big.node == joined.of, "left").select("node", F.coalesce("found", "node").alias("label"))
-    lists = cut(index.join(labels, "node"))
+    lists = cut(lists.join(labels, "node"))
     counts = lists.groupBy("key", "label").agg(F.count("*").alias("c"))
     mixed = counts.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
     mixed = mixed.withColumn("rest", F.col("n") - F.col("top.c"))
@@ -406,7 +415,7 @@ def verified_links(groups: DataFrame, texts: DataFrame, index: DataFrame, n_word
     every = cut(join_split(lists, mixed, "key", *hot(mixed)))
     others = every.where("label <> main").select("key", _dealt("r").alias("lo"), _numbers("k").alias("hi"), "node")
     every = every.select("key", _numbers("r").alias("lo"), _dealt("k").alias("hi"), "node")
-    rest = every.unionByName(others).withColumnRenamed("key", "root").join(texts, "node")
+    rest = _with_texts(every.unionByName(others).withColumnRenamed("key", "root"), texts, "lo", "hi")
     return links.unionByName(_blocked(rest, n_words, similarity))
 
 

@@ -1,5 +1,6 @@
 """Each pipeline stage against brute force on its own input."""
 
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -96,7 +97,7 @@ def test_packing(stages):
     assert padding <= 2048 * given.rdd.getNumPartitions()
 
 
-@pytest.mark.parametrize("block,most_listed", [(512, simhash.MOST_LISTED), (simhash.BLOCK, simhash.MOST_LISTED), (4, 6)])
+@pytest.mark.parametrize("block,most_listed", [(simhash.BLOCK, simhash.MOST_LISTED), (16, simhash.MOST_LISTED), (4, 6)])
 def test_near_duplicates_of_a_large_group(spark, block, most_listed):
     base = [f"word{i}" for i in range(120)]
     texts = []
@@ -129,6 +130,22 @@ def test_block_rows_grow_linearly_with_a_family(spark, monkeypatch):
     assert max(per_text) < 3 and per_text[1] < 1.3 * per_text[0], per_text
 
 
+@pytest.mark.parametrize("block", [simhash.BLOCK, 24])
+def test_near_duplicates_of_loose_variants(spark, block):
+    """A family most of whose pairs are below 0.8, whole and in blocks: components are those of all pairs."""
+    rnd = random.Random(3)
+    base, texts = [f"word{i}" for i in range(150)], []
+    for k in range(150):
+        w = list(base)
+        for _ in range(rnd.randrange(1, 8)):
+            w[rnd.randrange(150)] = f"other{rnd.randrange(10**6)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate([" ".join(base), *texts])), "doc_id long, text string")
+    roots = brute_groups(rows(docs))
+    assert 10 < len(set(roots.values())) < 140
+    assert sorted(r["doc_id"] for r in rows(simhash.keep_one(docs, block=block))) == sorted(set(roots.values()))
+
+
 @pytest.mark.parametrize("way", ["appended", "replaced"])
 def test_near_duplicates_with_another_passage(spark, sf_dir, way):
     """Pairs at 0.8 to 0.9 that differ in one block: the whole table's prose, each text with a passage of the next."""
