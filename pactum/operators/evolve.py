@@ -142,10 +142,14 @@ def migration_impact(changes: list[dict], stem: str, old_at: str, new_at: str, c
     }
 
 
+def changes_of(snapshots: DataFrame, order: str = "taken") -> DataFrame:
+    """The changes between each stem's neighbouring snapshots."""
+    return diff(*consecutive(snapshots, order))
+
+
 def analyze(snapshots: DataFrame, order: str = "taken") -> tuple[dict, int]:
     """All stems at once: per stem its verdict and changes, and an exit code (0 compatible, 1 breaking)."""
-    old, new = consecutive(snapshots, order)
-    rows = [r.asDict() for r in diff(old, new).orderBy("pair", "field", "change_type").collect()]  # changes of schemas, not of data
+    rows = [r.asDict() for r in changes_of(snapshots, order).orderBy("pair", "field", "change_type").collect()]  # changes of schemas, not of data
     stems = {r.stem: {"verdict": "STABLE", "changes": []} for r in snapshots.select("stem").distinct().collect()}
     for r in rows:
         entry = stems[r["pair"].split("|")[0]]
