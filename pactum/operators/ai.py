@@ -11,6 +11,11 @@ from ..functions.columns import column, cosine_distance
 
 WARN_DISTANCE, FAIL_DISTANCE = 0.15, 0.25
 VERDICTS = ["PASS", "FAIL", "WARN"]
+#: What a prompt's input must hold, if no other schema is given.
+PROMPT_SCHEMA = {
+    "required": ["doc_id", "source_path", "content_preview"], "additionalProperties": False,
+    "properties": {"doc_id": {"type": "string", "minLength": 1}, "source_path": {"type": "string", "minLength": 1}, "content_preview": {"type": "string", "maxLength": 8000}},
+}
 
 
 def centroid(vectors: DataFrame, vector_col: str = "embedding") -> DataFrame:
@@ -33,17 +38,20 @@ def embedding_drift(current: DataFrame, baseline: DataFrame | None, warn: float
 
 
 def tfidf(texts: DataFrame, text_col: str = "text", features: int = 512, model=None):
-    """(vectors, model): sublinear TF-IDF as arrays.  Passing a stored model keeps its vocabulary, so centroids stay comparable."""
+    """(vectors, model): sublinear TF-IDF as arrays.  Passing a stored model keeps its vocabulary, so centroids stay comparable.
+
+    The vocabulary is the `features` most frequent words, of equal ones the first in order.
+    """
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer
+    from pyspark.ml.feature import IDF, CountVectorizerModel, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
 
     if model is None:
-        model = Pipeline(stages=[
-            RegexTokenizer(inputCol=text_col, outputCol="__words", pattern=r"\W+", minTokenLength=2),
-            CountVectorizer(inputCol="__words", outputCol="__counts", vocabSize=features),
-            IDF(inputCol="__counts", outputCol="__idf"),
-        ]).fit(texts)
+        tokenizer = RegexTokenizer(inputCol=text_col, outputCol="__words", pattern=r"\W+", minTokenLength=2)
+        words = tokenizer.transform(texts.where(F.col(text_col).isNotNull())).select(F.explode("__words").alias("w")).groupBy("w").count()
+        listed = [r.w for r in words.orderBy(F.desc("count"), "w").limit(features).collect()]
+        counter = CountVectorizerModel.from_vocabulary(listed or [""], inputCol="__words", outputCol="__counts")
+        model = Pipeline(stages=[tokenizer, counter, IDF(inputCol="__counts", outputCol="__idf")]).fit(texts)
     # the model weighs raw counts c; document frequencies, and so the weights, are the same for 1 + ln(c)
     counted = model.transform(texts).withColumns({"__c": vector_to_array("__counts"), "__w": vector_to_array("__idf")})
     damped = F.zip_with("__w", "__c", lambda w, c: F.when(c > 0, w / c * (1 + F.log(c))).otherwise(F.lit(0.0)))

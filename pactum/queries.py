@@ -607,10 +607,10 @@ def ag12_quarantine_rate(spark, sf_dir):
     return ai.quarantine_rate(ai.validate_schema(table(spark, sf_dir, "documents").select("text"), {"properties": {"text": {"type": "string", "minLength": 500}}}))
 
 
-@query("p08_prompt_input", "SELECT conv_id, left(string_agg(text, ' ' ORDER BY turn), 200) AS prompt FROM conversations WHERE turn < 10 GROUP BY 1")
+@query("p08_prompt_input", "SELECT conv_id, left(string_agg(text, ' ' ORDER BY turn), 8000) AS prompt FROM conversations WHERE turn < 10 GROUP BY 1")
 def p08_prompt_input(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").where("turn < 10").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("facts"))
-    return turns.select("conv_id", ai.prompt_input(F.col("facts"), 10, 200).alias("prompt"))
+    return turns.select("conv_id", ai.prompt_input(F.col("facts")).alias("prompt"))
 
 
 @query("ag10_health", f"SELECT count(*) AS total_checks, count(*) FILTER (WHERE status = 'PASS') AS passed, round(100.0 * count(*) FILTER (WHERE status = 'PASS') / count(*), 1) AS base_score, greatest(0.0, round(round(100.0 * count(*) FILTER (WHERE status = 'PASS') / count(*), 1) - 20 * count(*) FILTER (WHERE status = 'FAIL' AND severity = 'CRITICAL'), 1)) AS score FROM ({ORDER_CHECKS})")
@@ -695,8 +695,22 @@ def g03_contract_lineage(spark, sf_dir):
     return spark.createDataFrame([("up", found["upstream"]), ("down", found["downstream"])], "side string, labels array<string>")
 
 
-@query("ai03_tfidf")
+@query("ai03_tfidf", """
+WITH tokens AS (
+  SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^A-Za-z0-9_]+'), lambda x: length(x) >= 2)) AS w FROM documents
+), listed AS (
+  SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) - 1 AS place, count(DISTINCT doc_id) AS df FROM tokens GROUP BY w QUALIFY place < 512
+), weights AS (
+  SELECT t.doc_id, l.place, (1 + ln(count(*))) * ln((n + 1.0) / (l.df + 1.0)) AS x
+  FROM tokens t JOIN listed l ON t.w = l.w, (SELECT count(*) AS n FROM documents) GROUP BY t.doc_id, l.place, l.df, n
+), unit AS (
+  SELECT place, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM weights
+)
+SELECT l.w AS word, l.place, round(coalesce(sum(x), 0) / (SELECT count(*) FROM documents), 6) AS weight FROM listed l LEFT JOIN unit u ON l.place = u.place GROUP BY l.w, l.place
+""")
 def ai03_tfidf(spark, sf_dir):
-    """Mean TF-IDF vector of all documents over a vocabulary fitted on all of them (no SQL counterpart; see the tests)."""
-    vectors, _ = ai.tfidf(table(spark, sf_dir, "documents").select("text"))
-    return ai.centroid(vectors)
+    """The mean TF-IDF vector of all documents, over a vocabulary fitted on all of them."""
+    vectors, model = ai.tfidf(table(spark, sf_dir, "documents").select("text"))
+    words = spark.createDataFrame(list(enumerate(model.stages[1].vocabulary)), "place long, word string")  # at most 512
+    mean = ai.centroid(vectors).select(F.posexplode("centroid").alias("at", "weight"))
+    return words.join(F.broadcast(mean), F.col("place") == F.col("at")).select("word", "place", F.round("weight", 6).alias("weight"))
