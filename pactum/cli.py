@@ -11,6 +11,7 @@ import sys
 from datetime import datetime, timezone
 from pathlib import Path
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def run_validate(a, spark) -> int:
             drifted = compare(now, baselines, contract.stem)
             if a.rebaseline or scores(now, baselines).where("status = 'FAIL'").isEmpty():
                 writers.write_baselines(roll_forward(now, baselines.where(F.col("dataset") == contract.stem), a.rebaseline), a.baselines)
-        rep = validate.report(df, contract, str(data), drifted, snapshot_id=readers.fingerprint(spark, str(data)).first().sha256)
+        rep = validate.report(df, contract, str(data), drifted, snapshot_id=readers.snapshot_id(spark, str(data)))
         writers.write_json(rep, Path(a.report) / f"{contract.stem}_report.json")
         print(writers.console_line(rep))
         severities = {"AUDIT": (), "WARN": ("CRITICAL",), "ENFORCE": ("CRITICAL", "HIGH")}[a.mode]
@@ -80,7 +81,8 @@ def attribute(a, spark) -> int:
         d = readers.load_json(path)
         rows = [[r.get(k) for k in ("check_id", "column_name", "status", "severity", "message", "records_failing")] for r in d.get("results", [])]
         results = spark.createDataFrame(rows, "check_id string, column_name string, status string, severity string, message string, records_failing long")
-        commits = (lambda files: readers.git_commits(spark, files, root)) if root else None
+        history = readers.git_blame if a.blame else readers.git_commits
+        commits = (lambda files, history=history: history(spark, files, root)) if root else None
         found += lineage.attribute(results, records, registry, d.get("contract_id", ""), d.get("contract_stem", path.stem), now, commits, [d.get("data_file") or "src/unknown.py"])
     if found:
         import json
@@ -110,16 +112,28 @@ def run_evolve(a, spark) -> int:
 def run_ai(a, spark) -> int:
     out = {}
     if a.extractions:
-        texts = ai.fact_texts(readers.json_lines(spark, a.extractions))
-        _, model = ai.tfidf(texts)
-        vectors, _ = ai.tfidf(texts, model=model)
-        base = spark.read.parquet(a.baseline) if a.baseline and Path(a.baseline).exists() else None
+        records = readers.json_lines(spark, a.extractions)
+        texts = ai.fact_texts(records)
+        # a centroid means something only with the vocabulary it was taken with, so both are stored together
+        stored = a.baseline and Path(a.baseline, "centroid").exists() and Path(a.baseline, "model").exists()
+        vectors, model = ai.tfidf(texts, model=PipelineModel.load(f"{a.baseline}/model") if stored else None)
         now = ai.centroid(vectors)
-        out["embedding_drift"] = ai.embedding_drift(now, base, a.threshold).first().asDict()
-        if a.baseline and base is None:
-            now.write.parquet(a.baseline)
+        out["embedding_drift"] = ai.embedding_drift(now, spark.read.parquet(f"{a.baseline}/centroid") if stored else None, a.threshold).first().asDict()
+        if a.baseline and not stored:
+            model.write().overwrite().save(f"{a.baseline}/model")
+            now.write.mode("overwrite").parquet(f"{a.baseline}/centroid")
+        path = F.col("source_path") if "source_path" in records.columns else F.lit(None).cast("string")
+        prompts = records.select("doc_id", path.alias("source_path"), ai.prompt_input(F.col("extracted_facts")).alias("content_preview"))
+        checked = ai.validate_schema(prompts, readers.load_json(a.schema) if a.schema else ai.PROMPT_SCHEMA)
+        rate = ai.quarantine_rate(checked).first().asDict()
+        out["prompt_input_validation"] = rate | {"status": "FAIL" if rate["quarantined"] else "PASS"}
+        if rate["quarantined"]:
+            writers.write_quarantine(checked, a.quarantine)
     if a.verdicts:
-        out["output_violations"] = ai.violation_rate(readers.json_lines(spark, a.verdicts), F.col("overall_verdict")).first().asDict()
+        rates = Path(a.rates or Path(a.reports) / "ai_baselines.json")
+        found = ai.violation_rate(readers.json_lines(spark, a.verdicts), F.col("overall_verdict"), baseline=readers.load_rate(rates)).first().asDict()
+        writers.write_rate(found["rate"], rates)  # the first run only
+        out["output_violations"] = found
     writers.write_json(out, Path(a.reports) / "ai_extensions_report.json")
     return 0
 
@@ -127,7 +141,9 @@ def run_ai(a, spark) -> int:
 def run_report(a, spark) -> int:
     checks = readers.check_results(spark, a.reports).withColumn("ordinal", F.monotonically_increasing_id())
     ai_report = readers.load_json(Path(a.reports) / "ai_extensions_report.json")
-    built = report.build(checks, None, {k: v.get("status", "SKIPPED") for k, v in ai_report.items()})
+    snapshots = readers.load_snapshots(spark, a.snapshots, None) if a.snapshots else None
+    changes = evolve.changes_of(snapshots) if snapshots is not None and not snapshots.isEmpty() else None
+    built = report.build(checks, changes, {k: v.get("status", "SKIPPED") for k, v in ai_report.items()})
     if not a.dry_run:
         writers.write_json(built, Path(a.output) / "report_data.json")
         (Path(a.output) / "report.html").write_text(report.to_html(built))
@@ -147,10 +163,10 @@ def main(argv: list[str] | None = None) -> int:
 
     command("generate", generate, ("source", "."), ("all", False), ("output", "contracts"), ("lineage", None), ("snapshots", None))
     command("validate", run_validate, ("contract", None), ("data", None), ("contracts", "contracts"), ("outputs", "."), ("report", "reports"), ("baselines", None), ("no-drift", False), ("rebaseline", False), ("soda", False), ("mode", "AUDIT"))
-    command("attribute", attribute, ("reports", "reports"), ("lineage", "lineage.jsonl"), ("registry", "subscriptions.yaml"), ("output", "violations"), ("git-root", "."), ("no-git", False), ("append", False))
+    command("attribute", attribute, ("reports", "reports"), ("lineage", "lineage.jsonl"), ("registry", "subscriptions.yaml"), ("output", "violations"), ("git-root", "."), ("no-git", False), ("blame", False), ("append", False))
     command("evolve", run_evolve, ("snapshots", "snapshots"), ("stem", None), ("since", None), ("reports", "reports"))
-    command("ai", run_ai, ("extractions", None), ("verdicts", None), ("baseline", None), ("threshold", 0.15), ("reports", "reports"))
-    command("report", run_report, ("reports", "reports"), ("output", "health"), ("dry-run", False))
+    command("ai", run_ai, ("extractions", None), ("verdicts", None), ("baseline", None), ("threshold", 0.15), ("schema", None), ("quarantine", "quarantine"), ("rates", None), ("reports", "reports"))
+    command("report", run_report, ("reports", "reports"), ("snapshots", None), ("output", "health"), ("dry-run", False))
     args = parser.parse_args(argv)
     return args.run(args, session())
 

@@ -8,6 +8,8 @@ the plan is cut every few steps.
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -152,15 +154,31 @@ def registry_matches(failing: DataFrame, registry: DataFrame) -> DataFrame:
     return f.join(registry, "contract_id").select("contract_id", "field", "subscriber_id", F.coalesce(hit, F.lit(False)).alias("matched"), enforced)
 
 
-def blast_radius(edges: DataFrame, nodes: DataFrame, starts: DataFrame, subscribers: list[str], pipelines: list[str] | None = None, most: int = 10) -> dict:
-    """Affected nodes: registry subscribers first, then at most ten downstream nodes; depth is the size of the closure."""
-    reached = downstream(edges, starts)
-    depth = reached.count()
-    labels = reached.join(nodes, "id", "left").orderBy("hops", "id").limit(most).select(F.coalesce("label", "id").alias("label")).collect()
-    found = [f"file::{r.label}" if "/" in r.label or r.label.endswith((".py", ".jsonl")) else r.label for r in labels]
+RUNNERS = ("pipeline", "runner")  # labels of nodes that are pipelines contain one of these
+
+
+def closure(edges: DataFrame, nodes: DataFrame, starts: DataFrame, most: int = 10) -> dict:
+    """What lies downstream: labels of the `most` nearest nodes, of the `most` nearest pipelines among all, and the number of nodes."""
+    reached = cut(downstream(edges, starts).join(nodes.select("id", "label"), "id", "left").select("id", "hops", F.coalesce("label", "id").alias("label")))
+    nearest = lambda rows: [r.label for r in rows.orderBy("hops", "id").limit(most).collect()]
+    runs = reduce(or_, (F.contains(F.lower("label"), F.lit(x)) for x in RUNNERS))
+    return {"labels": nearest(reached), "pipelines": nearest(reached.where(runs)), "depth": reached.count()}
+
+
+def blast_radius(edges: DataFrame, nodes: DataFrame, starts: DataFrame, subscribers: list[str], pipelines: list[str] | None = None, most: int = 10, reached: dict | None = None) -> dict:
+    """Affected nodes: registry subscribers first, then at most ten downstream nodes; depth is the size of the closure.
+
+    Affected pipelines are those given, or else the downstream nodes that are named as such.  `reached` is the
+    `closure`, if it is known already.
+    """
+    reached = reached or closure(edges, nodes, starts, most)
+    found = [f"file::{x}" if "/" in x or x.endswith((".py", ".jsonl")) else x for x in reached["labels"]]
     found = found or [f"dataset::{p}" for p in pipelines or []]
     first = [f"subscriber::{s}" for s in subscribers]
-    return {"affected_nodes": [*first, *(n for n in found if n not in first)], "affected_pipelines": pipelines or ["unknown-pipeline"], "contamination_depth": depth}
+    return {
+        "affected_nodes": [*first, *(n for n in found if n not in first)],
+        "affected_pipelines": pipelines or reached["pipelines"] or ["unknown-pipeline"], "contamination_depth": reached["depth"],
+    }
 
 
 def attribute(results: DataFrame, records: DataFrame, registry: DataFrame, contract_id: str, dataset: str, as_of: datetime,
@@ -187,15 +205,12 @@ def attribute(results: DataFrame, records: DataFrame, registry: DataFrame, contr
     matches: dict[str, list] = {}
     for r in registry_matches(fields, registry).orderBy(F.desc("enforced"), "subscriber_id").collect():
         matches.setdefault(r.field, []).append(r)
-    radius: dict[tuple, dict] = {}
-    out = []
+    reached, out = closure(edges, nodes, starts), []
     for r in rows:
-        subscribers = tuple(m.subscriber_id for m in matches.get(r.column_name, []))
-        if subscribers not in radius:
-            radius[subscribers] = blast_radius(edges, nodes, starts, list(subscribers), pipelines)
+        radius = blast_radius(edges, nodes, starts, [m.subscriber_id for m in matches.get(r.column_name, [])], pipelines, reached=reached)
         out.append({
             "check_id": r.check_id, "detected_at": as_of.isoformat(), "severity": r.severity, "status": r.status, "message": r.message, "records_failing": r.records_failing,
-            "blame_chain": chain.get(r.check_id, []), "blast_radius": radius[subscribers] | {"estimated_records": r.records_failing, "breaking_field_matched": any(m.matched for m in matches.get(r.column_name, []))},
+            "blame_chain": chain.get(r.check_id, []), "blast_radius": radius | {"estimated_records": r.records_failing, "breaking_field_matched": any(m.matched for m in matches.get(r.column_name, []))},
         })
     return out
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,15 +32,15 @@ def record_id(df: DataFrame) -> Column:
     return F.coalesce(*ids, *strings, F.lit("unknown"))
 
 
-def failing_sample(df: DataFrame, check: Check, order: str | None = None, n: int = 5) -> list[str]:
-    """The first `n` distinct ids of failing rows, in the order of `order` (or of the scan)."""
+def failing_rows(df: DataFrame, check: Check, order: str | None = None, n: int = 5) -> DataFrame | None:
+    """(__id, __at): the first `n` distinct ids of failing rows, in the order of `order` (or of the scan); None if a check has no rows."""
     flat = flatten_once(df)
     ordinal = column(order).cast("string") if order else F.monotonically_increasing_id()
     keyed = flat.withColumns({"__id": record_id(flat), "__at": ordinal})
     if check.grain[0] == "distinct":
         v = as_text(column(check.grain[1]), flat.schema[check.grain[1]].dataType)
-        again = Window.partitionBy("__v").orderBy("__at")
-        keyed = keyed.withColumn("__v", v).where("__v is not null").withColumn("__r", F.row_number().over(again)).where("__r > 1")
+        again = Window.partitionBy("__h").orderBy("__at")  # by hashes, so long values are not shuffled
+        keyed = keyed.where(v.isNotNull()).select("__id", "__at", F.struct(F.xxhash64(v), F.hash(v)).alias("__h")).withColumn("__r", F.row_number().over(again)).where("__r > 1")
     elif check.grain[0] == "items":
         keyed = keyed.withColumn("item", F.explode(column(check.grain[1]))).where(check.failing)
     elif check.grain[0] == "sequence":
@@ -48,8 +49,23 @@ def failing_sample(df: DataFrame, check: Check, order: str | None = None, n: int
     elif check.failing is not None:
         keyed = keyed.where(check.failing)
     else:
-        return []
-    return [r[0] for r in keyed.groupBy("__id").agg(F.min("__at").alias("__at")).orderBy("__at", "__id").limit(n).collect()]
+        return None
+    return keyed.groupBy("__id").agg(F.min("__at").alias("__at")).orderBy("__at", "__id").limit(n)
+
+
+def failing_sample(df: DataFrame, check: Check, order: str | None = None, n: int = 5) -> list[str]:
+    rows = failing_rows(df, check, order, n)
+    return [] if rows is None else [r[0] for r in rows.orderBy("__at", "__id").collect()]
+
+
+def failing_samples(df: DataFrame, checks: dict[int, Check], order: str | None = None, n: int = 5) -> dict[int, list[str]]:
+    """`failing_sample` of several checks in one job."""
+    found = {k: failing_rows(df, c, order, n) for k, c in checks.items()}
+    parts = [rows.select(F.lit(k).alias("k"), F.col("__id").alias("id"), F.col("__at").alias("at")) for k, rows in found.items() if rows is not None]
+    out: dict[int, list[str]] = {k: [] for k in checks}
+    for r in reduce(DataFrame.unionByName, parts).orderBy("k", "at", "id").collect() if parts else ():
+        out[r.k].append(r.id)
+    return out
 
 
 def roll_up(checks: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -80,10 +96,10 @@ def report(df: DataFrame, contract: Contract, data_file: str = "", drift: DataFr
     checks = Compiler(flat, contract.stem, df.schema).checks(contract.clauses)
     found = results(flat, checks)
     rows = [r.asDict() for r in found.orderBy("ordinal").collect()]  # one row per check
+    sampled = failing_samples(df, {r["ordinal"]: checks[r["ordinal"]] for r in rows if samples and r["records_failing"]}, order)
     for r in rows:
-        if samples and r["records_failing"]:
-            r["sample_failing"] = failing_sample(df, checks[r["ordinal"]], order)
-        del r["ordinal"]
+        if (at := r.pop("ordinal")) in sampled:
+            r["sample_failing"] = sampled[at]
     if drift is not None:
         rows += [r.asDict() for r in drift.select([f.name for f in RESULT_SCHEMA]).orderBy("check_id").collect()]
     count = lambda s: sum(r["status"] == s for r in rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import subprocess
@@ -51,10 +52,43 @@ def json_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of whole files, hashed where they are read."""
+    """(path, sha256) of whole files, hashed where they are read; a file is one row, so files are below 2 GB."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def snapshot_id(spark: SparkSession, path: str, chunk: int = 1 << 16) -> str:
+    """The SHA-256 of a file, of any size, read in chunks; of a folder that of its files' names and hashes in order.
+
+    Paths that only Spark can open are hashed by `fingerprint`.
+    """
+
+    def of(file: Path) -> str:
+        digest = hashlib.sha256()
+        with file.open("rb") as f:
+            while part := f.read(chunk):
+                digest.update(part)
+        return digest.hexdigest()
+
+    p = Path(path)
+    if p.is_file():
+        return of(p)
+    if p.is_dir():
+        files = sorted(f for f in p.rglob("*") if f.is_file() and not f.name.startswith((".", "_")))
+        rows = [(str(f.relative_to(p)), of(f)) for f in files]
+    else:
+        rows = sorted(tuple(r) for r in fingerprint(spark, path).collect())  # a row per file
+    return hashlib.sha256("\n".join(f"{name} {h}" for name, h in rows).encode()).hexdigest()
+
+
+def load_rate(path: str | Path, name: str = "output_violation_rate") -> float | None:
+    """A stored baseline rate; None if there is none."""
+    p = Path(path)
+    try:
+        return float(json.loads(p.read_text())[name]) if p.exists() else None
+    except (ValueError, KeyError, TypeError):
+        return None
+
+
 def check_results(spark: SparkSession, path: str, exclude: tuple[str, ...] = ("ai_", "schema_", "migration_", "validation_summary")) -> DataFrame:
     """The union of the results of all report files below `path`, with file names; files of other kinds are left out."""
     reports = json_documents(spark, path).withColumn("file", F.col("_metadata.file_name"))

@@ -70,5 +70,15 @@ def write_baselines(current: DataFrame, path: str | Path, replace: bool = True)
     return write_json(known, p)
 
 
+def write_rate(rate: float, path: str | Path, name: str = "output_violation_rate") -> bool:
+    """Stores a baseline rate unless one is stored; whether it did."""
+    from .readers import load_rate
+
+    if load_rate(path, name) is not None:
+        return False
+    write_json({name: rate}, path)
+    return True
+
+
 def console_line(report: dict) -> str:
     return f"[{report['overall_status']}] {report['contract_stem']}: {report['passed']}/{report['total_checks']} passed, {report['failed']} failed, {report['warned']} warned"

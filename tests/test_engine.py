@@ -1,7 +1,9 @@
 """Profiles, synthesis, drift, evolution, lineage, AI checks, reports, sources and streams."""
 
+import hashlib
 import json
 import math
+import random
 import re
 import uuid
 from collections import Counter
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from pactum.operators import ai, drift, etl, evolve, lineage, profile, report, validate
 from pactum.plans import synth
 from pactum.plans.clauses import Clause, Contract
+from pactum.plans.compiler import Compiler
 from pactum.plans.taxonomy import CHANGE_TYPES, WIDENING
 from pactum.sources import readers, writers
 from pactum.streaming.validate import latest_results, validate_stream
@@ -325,6 +328,65 @@ def test_extractions_and_traces(spark):
     assert runs["llm"].parent_run_id == runs["chain"].id and runs["embedding"].parent_run_id == runs["llm"].id
 
 
+def plain_entities(contents, doc_id):
+    """The entity rule stated as steps, for comparison."""
+    order, out, refs = [], {}, []
+    for text in contents:
+        mine = []
+        if len(order) < 20:
+            for at, word in enumerate(text.split()):
+                name = re.sub("[.,;:()]+$", "", word)
+                if at == 0 or len(name) < 4 or not name.isalpha() or not name[0].isupper() or name in etl.NOT_NAMES:
+                    continue
+                key = name.lower()
+                if key not in out and len(order) < 20:
+                    kind = "ORG" if any(m in key for m in etl.ORGANISATION_MARKS) else "PERSON" if at > 1 and name[1:].islower() else "OTHER"
+                    out[key] = (f"{doc_id}:{len(order)}", name, kind, key)
+                    order.append(key)
+                if key in out and out[key][0] not in mine:
+                    mine.append(out[key][0])
+                if len(mine) == 3:
+                    break
+        refs.append(mine)
+    return [out[k] for k in order], refs
+
+
+def test_entities_of_many_facts(spark):
+    rnd = random.Random(4)
+    names = ["Berlin", "Acme", "ACME", "acme", "Bank", "This", "Incorp,", "Zed", "Quarkland.", "Übersee", "McCoy", "X1234"] + [f"Name{chr(97 + i) * 3}" for i in range(25)]
+    docs = [(f"d{k}", [" ".join(rnd.choices(names, k=rnd.randrange(1, 9))) for _ in range(rnd.randrange(1, 15))]) for k in range(60)] + [("d9", ["Then Berlin"]), (None, ["Then Berlin"])]
+    rows = [(d, "f", None, None, None, [(c, None, None) for c in cs]) for d, cs in docs]
+    frame = spark.createDataFrame(rows, "doc_id string, filename string, confidence double, strategy string, processing_time double, units array<struct<content:string,page:int,chunk_type:string>>")
+    got = etl.extractions(frame).collect()
+    assert len(got) == len(docs)  # repeated and null ids stay
+    want = sorted(repr(plain_entities(cs, d or "")) for d, cs in docs)
+    assert sorted(repr(([tuple(e) for e in r.entities], [list(f.entity_refs) for f in r.extracted_facts])) for r in got) == want
+
+
+def test_snapshot_ids(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_bytes(b"x" * 200_000)
+    assert readers.snapshot_id(spark, str(tmp_path / "a.jsonl")) == hashlib.sha256(b"x" * 200_000).hexdigest()
+    both = readers.snapshot_id(spark, str(tmp_path))
+    (tmp_path / "b.jsonl").write_text("y")
+    assert len(both) == 64 and readers.snapshot_id(spark, str(tmp_path)) != both
+
+
+def test_blast_radius_names_pipelines(spark):
+    nodes = spark.createDataFrame([(x, x, None) for x in ("t", "load_pipeline.py", "b", "job_runner")], "id string, label string, path string")
+    edges = spark.createDataFrame([("t", "load_pipeline.py"), ("load_pipeline.py", "b"), ("b", "job_runner"), ("job_runner", "t")], "src string, dst string")
+    r = lineage.blast_radius(edges, nodes, spark.createDataFrame([("t",)], "id string"), ["s"])
+    assert r["affected_pipelines"] == ["load_pipeline.py", "job_runner"] and r["contamination_depth"] == 3
+    assert r["affected_nodes"] == ["subscriber::s", "file::load_pipeline.py", "b", "job_runner"]
+
+
+def test_samples_of_all_checks_in_one_job(spark):
+    df = spark.createDataFrame([(str(i), i % 4 if i % 7 else None) for i in range(40)], "id string, v int")
+    c = Compiler(df, "t", df.schema)
+    checks = dict(enumerate(c.checks((Clause("not_null", fields=("v",)), Clause("unique", fields=("v",)), Clause("unique", fields=("id",))))))
+    got = validate.failing_samples(df.coalesce(1), checks)
+    assert got == {k: validate.failing_sample(df.coalesce(1), x) for k, x in checks.items()} and got[0] == ["0", "7", "14", "21", "28"] and got[2] == []
+
+
 def test_lineage_records_and_steps(spark):
     modules = spark.createDataFrame([("C:\\w\\cloned_repo_3\\src\\test_a.py", "py"), ("x/y/models/b.sql", "sql")], "file_path string, language string")
     data = spark.createDataFrame([("sink:orders",), ("file:/a/cloned_repo_3/src/test_a.py",)], "id string")
