@@ -269,7 +269,7 @@ def measured(docs: DataFrame, weights: np.ndarray | None, id_col: str, text_col:
 
 def _with_pages(rows: DataFrame, pages: DataFrame, page_id: str, url_col: str) -> DataFrame:
     urls = pages.where(F.col(page_id).isNotNull()).groupBy(F.col(page_id).alias("page")).agg(F.min(url_col).alias("url"))
-    return rows.join(urls, rows.id == urls.page, "left").drop("page")
+    return rows.join(urls.hint("merge"), rows.id == urls.page, "left").drop("page")
 
 
 def viewed(rows: DataFrame, pages: DataFrame, page_id: str, url_col: str) -> DataFrame:
@@ -294,16 +294,19 @@ def train(docs: DataFrame, labels: DataFrame, pages: DataFrame, id_col: str = "d
     picked = {r.i: r.y for r in hash_sample(known, "i", most_labelled, known.count())}
     if not picked:
         return co_train(np.zeros((0, N_TEXT)), np.zeros((0, SLOTS)), np.zeros(0), np.zeros(0, bool))
-    views = lambda part: viewed(measured(part, None, id_col, text_col, lang_col, source_col), pages, page_id, url_col)
+    views = lambda part: measured(part, None, id_col, text_col, lang_col, source_col)
     # at most most_labelled ids and their features
     chosen = docs.sparkSession.createDataFrame([(i,) for i in picked], f"i {docs.schema[id_col].dataType.simpleString()}")
-    rows = views(docs.join(F.broadcast(chosen), docs[id_col] == chosen.i, "left_semi")).collect()
+    rows = viewed(views(docs.join(F.broadcast(chosen), docs[id_col] == chosen.i, "left_semi")), pages, page_id, url_col).collect()
     rows = sorted({r.id: r for r in rows}.values(), key=lambda r: r.id)
     text, page = features([bytes(r.text) for r in rows], [bytes(r.slots) for r in rows])
     y = np.array([picked[r.id] for r in rows], dtype=np.float64)
     calibrate = np.array([zlib.crc32(f"{r.id}/calibrate".encode()) % 3 == 0 for r in rows])
-    others = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).join(marks, docs[id_col] == marks.j, "left_anti")
-    return co_train(text, page, y, calibrate, TablePool(cut(views(others)), most_added=most_added) if rounds else None, rounds)
+    # labelled rows are left out after their texts are: only compact rows are shuffled, once for both joins, at every size
+    others = views(docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))))
+    others = others.join(marks.hint("merge"), others.id == marks.j, "left_anti")
+    pool = TablePool(cut(viewed(others, pages, page_id, url_col)), most_added=most_added) if rounds else None
+    return co_train(text, page, y, calibrate, pool, rounds)
 
 
 def score(docs: DataFrame, pages: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
