@@ -178,7 +178,7 @@ def brute_network(tokens, words, net):
     """log P(network) of each token, by plain loops over the parameters."""
     table, matrices, bias, u1, c1, u2, c2 = (p.astype(float) for p in net.parts)
     place = {w: i for i, (w, _) in enumerate(words.words)}
-    rank = lambda w: place.get(w, len(place) + xxhash.xxh32_intdigest(w.encode()) % lm_scoring.SLOTS)
+    rank = lambda w: place.get(w, len(place) + xxhash.xxh64_intdigest(w.encode()) % lm_scoring.SLOTS)
     soft = lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum())
     out = []
     for i, w in enumerate(tokens):
@@ -271,7 +271,7 @@ def test_lm_training_is_the_plain_one(spark, sf_dir):
     own, look = lm_scoring.Network(words, 8, 8, 4), words.lookup()
     start, squares, context, rank = own.copy(), np.full_like(own.flat, 1e-6), [], []
     for t in texts:
-        x = [look.rank[look[w]] for w in t.lower().split()]
+        x = look.rank[look.batch([t])[1]].tolist()
         line = [own.pad, own.pad, *x, own.pad, own.pad]
         context += [[line[i + 2 + o] for o in lm_scoring.OFFSETS] for i in range(len(x))]
         rank += x
@@ -317,9 +317,14 @@ def test_lm_lookup(spark):
         if w in ("a", "b"):
             assert (look.rank[i], look.spelt[i]) == ("ab".index(w), 0.0)
         else:
-            assert look.rank[i] == 2 + xxhash.xxh32_intdigest(w.encode()) % lm_scoring.SLOTS
+            assert look.rank[i] == 2 + xxhash.xxh64_intdigest(w.encode()) % lm_scoring.SLOTS
             assert look.spelt[i] == pytest.approx(-1.0 + sum(words.chars.get(c, -3.0) for c in w))
         assert look.hash[i] == xxhash.xxh64_intdigest(w.encode())
+    look.MOST_WORDS = 50  # forgets, and goes on with the same answers
+    for text in ("a b x", "q1 q2 b", " ".join(f"r{i}" for i in range(60)), "x r3 a"):
+        _, numbers = look.batch([text])
+        assert [look.hash[i] for i in numbers] == [xxhash.xxh64_intdigest(w.encode()) for w in text.split()]
+    assert len(look) <= 112 and look.rank[look.batch(["a b"])[1]].tolist() == [0, 1]
 
 
 def test_hash_sample_is_the_start_of_one_order(spark):
