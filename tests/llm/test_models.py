@@ -271,7 +271,8 @@ def test_lm_training_is_the_plain_one(spark, sf_dir):
     own, look = lm_scoring.Network(words, 8, 8, 4), words.lookup()
     start, squares, context, rank = own.copy(), np.full_like(own.flat, 1e-6), [], []
     for t in texts:
-        x = look.rank[look.batch([t])[1]].tolist()
+        _, numbers = look.batch([t])
+        x = look.rank[numbers].tolist()
         line = [own.pad, own.pad, *x, own.pad, own.pad]
         context += [[line[i + 2 + o] for o in lm_scoring.OFFSETS] for i in range(len(x))]
         rank += x
@@ -324,7 +325,8 @@ def test_lm_lookup(spark):
     for text in ("a b x", "q1 q2 b", " ".join(f"r{i}" for i in range(60)), "x r3 a"):
         _, numbers = look.batch([text])
         assert [look.hash[i] for i in numbers] == [xxhash.xxh64_intdigest(w.encode()) for w in text.split()]
-    assert len(look) <= 112 and look.rank[look.batch(["a b"])[1]].tolist() == [0, 1]
+    _, numbers = look.batch(["a b"])
+    assert len(look) <= 112 and look.rank[numbers].tolist() == [0, 1]
 
 
 def test_hash_sample_is_the_start_of_one_order(spark):
