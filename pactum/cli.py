@@ -115,12 +115,16 @@ def run_ai(a, spark) -> int:
         records = readers.json_lines(spark, a.extractions)
         texts = ai.fact_texts(records)
         # a centroid means something only with the vocabulary it was taken with, so both are stored together
-        stored = a.baseline and Path(a.baseline, "centroid").exists() and Path(a.baseline, "model").exists()
-        vectors, model = ai.tfidf(texts, model=PipelineModel.load(f"{a.baseline}/model") if stored else None)
+        stored = a.baseline and Path(a.baseline, "centroid").exists() and (a.embedding_url or Path(a.baseline, "model").exists())
+        if a.embedding_url:
+            vectors, model = ai.embed(texts, ai.remote_client(a.embedding_url, a.embedding_model, a.embedding_key)), None
+        else:
+            vectors, model = ai.tfidf(texts, model=PipelineModel.load(f"{a.baseline}/model") if stored else None)
         now = ai.centroid(vectors)
         out["embedding_drift"] = ai.embedding_drift(now, spark.read.parquet(f"{a.baseline}/centroid") if stored else None, a.threshold).first().asDict()
         if a.baseline and not stored:
-            model.write().overwrite().save(f"{a.baseline}/model")
+            if model is not None:
+                model.write().overwrite().save(f"{a.baseline}/model")
             now.write.mode("overwrite").parquet(f"{a.baseline}/centroid")
         path = F.col("source_path") if "source_path" in records.columns else F.lit(None).cast("string")
         prompts = records.select("doc_id", path.alias("source_path"), ai.prompt_input(F.col("extracted_facts")).alias("content_preview"))
@@ -147,6 +151,7 @@ def run_report(a, spark) -> int:
     if not a.dry_run:
         writers.write_json(built, Path(a.output) / "report_data.json")
         (Path(a.output) / "report.html").write_text(report.to_html(built))
+        (Path(a.output) / "report.pdf").write_bytes(report.to_pdf(built))
     print(f"health {built['health']['score']}")
     return 0
 
@@ -165,7 +170,7 @@ def main(argv: list[str] | None = None) -> int:
     command("validate", run_validate, ("contract", None), ("data", None), ("contracts", "contracts"), ("outputs", "."), ("report", "reports"), ("baselines", None), ("no-drift", False), ("rebaseline", False), ("soda", False), ("mode", "AUDIT"))
     command("attribute", attribute, ("reports", "reports"), ("lineage", "lineage.jsonl"), ("registry", "subscriptions.yaml"), ("output", "violations"), ("git-root", "."), ("no-git", False), ("blame", False), ("append", False))
     command("evolve", run_evolve, ("snapshots", "snapshots"), ("stem", None), ("since", None), ("reports", "reports"))
-    command("ai", run_ai, ("extractions", None), ("verdicts", None), ("baseline", None), ("threshold", 0.15), ("schema", None), ("quarantine", "quarantine"), ("rates", None), ("reports", "reports"))
+    command("ai", run_ai, ("extractions", None), ("verdicts", None), ("baseline", None), ("embedding-url", ""), ("embedding-model", ""), ("embedding-key", ""), ("threshold", 0.15), ("schema", None), ("quarantine", "quarantine"), ("rates", None), ("reports", "reports"))
     command("report", run_report, ("reports", "reports"), ("snapshots", None), ("output", "health"), ("dry-run", False))
     args = parser.parse_args(argv)
     return args.run(args, session())

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
 from functools import reduce
+from urllib.request import Request, urlopen
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +40,40 @@ def embedding_drift(current: DataFrame, baseline: DataFrame | None, warn: float
     )
 
 
+def remote_client(url: str, model: str, key: str = "", timeout: float = 30.0) -> Callable[[list[str]], list[list[float]]]:
+    """A client of a service that takes {model, input: [texts]} and answers {data: [{index, embedding}]}."""
+
+    def ask(texts: list[str]) -> list[list[float]]:
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+        with urlopen(Request(url, json.dumps({"model": model, "input": texts}).encode(), headers), timeout=timeout) as answer:
+            rows = json.load(answer)["data"]
+        if len(rows) != len(texts):
+            raise ValueError(f"{len(rows)} vectors for {len(texts)} texts")
+        return [[float(x) for x in r["embedding"]] for r in sorted(rows, key=lambda r: r["index"])]
+
+    return ask
+
+
+def embed(texts: DataFrame, ask: Callable[[list[str]], list[list[float]]], text_col: str = "text", most: int | None = 200, batch: int = 50) -> DataFrame:
+    """(text, embedding) of the first `most` texts in their own order (all if None), asked for by the tasks in batches.
+
+    The bound is the feature: each text is a paid call to a service.  Null texts are left out.
+    """
+    kept = texts.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
+    kept = kept if most is None else kept.orderBy("text").limit(most)
+
+    def run(batches: Iterator) -> Iterator:
+        for b in batches:
+            rows = b["text"].tolist()
+            for at in range(0, len(rows), batch):
+                part = rows[at : at + batch]
+                yield pd.DataFrame({"text": part, "embedding": ask(part)})
+
+    import pandas as pd
+
+    return kept.mapInPandas(run, "text string, embedding array<double>")
+
+
 def tfidf(texts: DataFrame, text_col: str = "text", features: int = 512, model=None):
     """(vectors, model): sublinear TF-IDF as arrays.  Passing a stored model keeps its vocabulary, so centroids stay comparable.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from html import escape
+from textwrap import wrap
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,3 +113,39 @@ def to_html(report: dict) -> str:
         f"<h2>Schema changes</h2>{table(report['schema_changes'], ['pair', 'field', 'change_type', 'severity', 'detail'])}"
         f"<h2>AI risk</h2><p>{report['ai_risk']['overall_risk']}</p><h2>Actions</h2>{table(report['recommended_actions'], ['priority', 'action', 'file_hint'])}"
     )
+
+
+def _pdf_lines(report: dict) -> list[tuple[int, str]]:
+    """The report as lines of a size in points, wrapped to a page's width."""
+    h = report["health"]
+    out = [(18, f"Health {h['score']} / 100 ({h['band']})"), (10, f"{h['passed']} of {h['total_checks']} checks passed, {h['critical']} critical failures.")]
+    sections = [
+        ("Violations", [f"{k}: {n}" for k, n in report["violations"].items()]),
+        ("Failures", [f"{r['check_id']} ({r['severity']}, {r['records_failing']} records, {r['actual_value']}): {r['impact']}" for r in report["top_failures"]]),
+        ("Schema changes", [f"{r['pair']} {r['field']}: {r['change_type']} ({r['severity']}), {r['detail']}" for r in report["schema_changes"]]),
+        ("AI risk", [report["ai_risk"]["overall_risk"], *(f"{k}: {v}" for k, v in report["ai_risk"]["checks"].items())]),
+        ("Actions", [f"{r['priority']}. {r['action']} ({r['file_hint']})" for r in report["recommended_actions"]]),
+    ]
+    for title, rows in sections:
+        out += [(10, ""), (14, title), *((10, line) for row in rows or ["none"] for line in wrap(row, 92) or [""])]
+    return out
+
+
+def to_pdf(report: dict, per_page: int = 48) -> bytes:
+    """The report as a PDF of A4 pages in a standard font; characters that the font lacks become question marks."""
+    lines = _pdf_lines(report)
+    pages = [lines[at : at + per_page] for at in range(0, len(lines), per_page)]
+    quoted = lambda t: t.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+    kids = " ".join(f"{4 + 2 * i} 0 R" for i in range(len(pages)))
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{kids}] /Count {len(pages)} >>".encode(),
+               b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
+    for i, page in enumerate(pages):
+        body = b"BT 16 TL 50 790 Td " + b"".join(b"/F1 %d Tf (%s) Tj T* " % (size, quoted(text)) for size, text in page) + b"ET"
+        objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R >> >> /Contents {5 + 2 * i} 0 R >>".encode())
+        objects.append(b"<< /Length %d >>\nstream\n%s\nendstream" % (len(body), body))
+    out, places = b"%PDF-1.4\n", []
+    for i, o in enumerate(objects, 1):
+        places.append(len(out))
+        out += b"%d 0 obj\n%s\nendobj\n" % (i, o)
+    table = b"".join(b"%010d 00000 n \n" % at for at in places)
+    return out + b"xref\n0 %d\n0000000000 65535 f \n%strailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, table, len(objects) + 1, len(out))

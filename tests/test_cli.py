@@ -47,3 +47,4 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["report", "--reports", at("reports"), "--output", at("health")]) == 0
     assert json.loads((tmp_path / "health" / "report_data.json").read_text())["health"]["critical"] == 1
     assert (tmp_path / "health" / "report.html").read_text().startswith("<!doctype html>")
+    assert (tmp_path / "health" / "report.pdf").read_bytes().startswith(b"%PDF-1.4")

@@ -8,6 +8,8 @@ import re
 import uuid
 from collections import Counter
 from datetime import datetime
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from threading import Thread
 
 import pytest
 import yaml
@@ -287,6 +289,55 @@ def test_reports(spark):
     assert report.health(checks(spark, 0, [])).first().score == 0.0
 
 
+def test_pdf_pages_and_places(spark):
+    many = [("unit(\\)", "LOW")] + [(f"c{i}", "LOW") for i in range(3)]
+    rep = report.build(checks(spark, 1, many)) | {"schema_changes": [{"pair": "p", "field": f"f{i} é 漢", "change_type": "ADD", "severity": "INFO", "detail": "x " * 120} for i in range(60)]}
+    page = report.to_pdf(rep)
+    start = int(page.split(b"startxref\n")[1].split()[0])
+    assert page[start : start + 4] == b"xref" and page.endswith(b"%%EOF\n")
+    places = [int(x.split()[0]) for x in page[start:].split(b"\n")[3:] if x.endswith(b"n ")]
+    assert all(page[at:].startswith(b"%d 0 obj" % i) for i, at in enumerate(places, 1)) and len(places) > 10
+    assert page.count(b"/Type /Page ") == (len(places) - 3) // 2 and b"f59 \xe9 ?" in page and rb"unit\(\\\)" in page
+    for part in page.split(b"/Length ")[1:]:
+        n, rest = part.split(b" >>\nstream\n", 1)
+        assert rest[int(n) :].startswith(b"\nendstream")
+
+
+def test_remote_embeddings(spark):
+    """A small service on this machine: vectors come back by index, in batches, and the bound holds."""
+    asked = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            given = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append((len(given["input"]), given["model"], self.headers["Authorization"]))
+            rows = [{"index": i, "embedding": [len(t), 1]} for i, t in enumerate(given["input"])]
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"data": rows[::-1]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        client = ai.remote_client(f"http://127.0.0.1:{server.server_port}/", "m", "k")
+        texts = spark.createDataFrame([("x" * (i % 9),) for i in range(30)] + [(None,)], "text string")
+        rows = ai.embed(texts, client, batch=4).collect()
+        assert len(rows) == 30 and all(r.embedding == [len(r.text), 1.0] for r in rows)
+        assert max(n for n, *_ in asked) <= 4 and {x[1:] for x in asked} == {("m", "Bearer k")}
+        assert [r.text for r in ai.embed(texts, client, most=3).collect()] == ["", "", ""] and ai.embed(texts.limit(0), client).count() == 0
+        assert ai.centroid(ai.embed(texts, client, most=None)).first().n == 30
+    finally:
+        server.shutdown()
+
+
+def test_synthetic_padding(spark):
+    rows = etl.padded(etl.synthetic_extractions(spark.range(2)), 5, etl.synthetic_extractions).collect()
+    assert len(rows) == 5 and all(0.7 <= f.confidence < 1 and f.entity_refs == [r.entities[0].entity_id] for r in rows for f in r.extracted_facts)
+
+
 def test_report_files(spark, tmp_path):
     for stem in ("a", "b"):
         writers.write_json({"results": [{"check_id": f"{stem}.x", "status": "PASS"}]}, tmp_path / f"{stem}_report.json", tmp_path / "copy" / f"{stem}.json")
@@ -318,6 +369,7 @@ def test_extractions_and_traces(spark):
     docs = spark.createDataFrame([("d1", "f.pdf", 87.0, "VISION", 2.5, [("The Acme Bank paid Berlin.", 3, "title"), (" ", 1, "x"), ("Then Acme grew", None, None)])], "doc_id string, filename string, confidence double, strategy string, processing_time double, units array<struct<content:string,page:int,chunk_type:string>>")
     ledger = spark.createDataFrame([("f.pdf", "2026-01-01"), ("f.pdf", "2026-01-02")], "filename string, timestamp string")
     r = etl.extractions(docs, ledger).first()
+    assert etl.padded(etl.extractions(docs, ledger), 40, etl.synthetic_extractions).count() == 40
     assert [f.confidence for f in r.extracted_facts] == [0.9, 0.87] and r.extracted_at == "2026-01-02" and r.processing_time_ms == 2500
     assert [(e.name, e.type) for e in r.entities] == [("Acme", "OTHER"), ("Bank", "ORG"), ("Berlin", "PERSON")]
     assert list(r.extracted_facts[1].entity_refs) == [r.entities[0].entity_id] and (r.token_count.input, r.token_count.output) == (100, 50)
