@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -438,23 +439,28 @@ def j01_drift_z(spark, sf_dir):
     return found.select("event_type", F.round("z", 6).alias("z"), "status")
 
 
-@query("d03_constant", "SELECT * FROM (VALUES ('other', 'PASS'), ('same', 'PASS'), ('shifted', 'FAIL'), ('jump', 'FAIL')) t(\"column\", status)")
-def d03_constant(spark, sf_dir):
+DRIFT_NOW = "(SELECT unnest(['same', 'shifted', 'other', 'jump']) AS c, unnest([1.0, 2.0, value, value * 100]) AS x FROM events)"
+DRIFT_BASE = "(SELECT unnest(['same', 'shifted', 'jump']) AS c, unnest([1.0, 1.0, value]) AS x FROM events)"
+DRIFT_STATES = f"""(SELECT n.c, n.m AS now_mean, b.m AS base_mean, CASE WHEN b.c IS NULL THEN 'PASS' WHEN b.s = 0 THEN CASE WHEN abs(n.m - b.m) > 1e-9 THEN 'FAIL' ELSE 'PASS' END
+ WHEN abs(n.m - b.m) / b.s >= 3 THEN 'FAIL' WHEN abs(n.m - b.m) / b.s >= 2 THEN 'WARN' ELSE 'PASS' END AS status
+ FROM (SELECT c, avg(x) AS m FROM {DRIFT_NOW} GROUP BY c HAVING count(x) >= 5) n LEFT JOIN (SELECT c, avg(x) AS m, stddev_samp(x) AS s FROM {DRIFT_BASE} GROUP BY c HAVING count(x) >= 5) b ON n.c = b.c)"""
+
+
+def drift_sides(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     now = events.select(F.lit(1.0).alias("same"), F.lit(2.0).alias("shifted"), F.col("value").alias("other"), (F.col("value") * 100).alias("jump"))
     base = events.select(F.lit(1.0).alias("same"), F.lit(1.0).alias("shifted"), F.col("value").alias("jump"))
-    return drift.scores(drift.statistics(now, "events"), drift.statistics(base, "events")).select("column", "status")
+    return drift.statistics(now, "events"), drift.statistics(base, "events")
 
 
-@query("d05_roll_forward", "SELECT * FROM (VALUES ('jump', 'kept'), ('same', 'new')) t(\"column\", state)")
+@query("d03_constant", f'SELECT c AS "column", round(now_mean, 4) AS mean, status FROM {DRIFT_STATES}')
+def d03_constant(spark, sf_dir):
+    return drift.scores(*drift_sides(spark, sf_dir)).select("column", F.round("mean", 4).alias("mean"), "status")
+
+
+@query("d05_roll_forward", f"SELECT c AS \"column\", round(CASE WHEN status = 'FAIL' THEN base_mean ELSE now_mean END, 4) AS mean FROM {DRIFT_STATES}")
 def d05_roll_forward(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    base = drift.statistics(events.select(F.col("value").alias("jump"), F.lit(1.0).alias("same")), "events")
-    now = drift.statistics(events.select((F.col("value") * 100).alias("jump"), F.lit(1.0).alias("same")).unionByName(events.select(F.col("value").alias("jump"), F.lit(1.0).alias("same")).where("false")), "events")
-    rolled = drift.roll_forward(now, base)
-    old = base.select("column", F.col("mean").alias("old_mean"))
-    state = F.when(F.col("column") == "same", "new").when(F.col("mean") == F.col("old_mean"), "kept").otherwise("new")
-    return rolled.join(old, "column").select("column", state.alias("state"))
+    return drift.roll_forward(*drift_sides(spark, sf_dir)).select("column", F.round("mean", 4).alias("mean"))
 
 
 @query("j09_fk_orphans", "SELECT (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS unlabelled, (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS orphan_lines")
@@ -524,12 +530,13 @@ def e01_schema_diff(spark, sf_dir):
     return evolve.diff(*derived(spark, sf_dir), renames=False).select("pair", "field", "change_type", "backward_compatible", "severity")
 
 
-@query("e02_rename", """WITH o AS (SELECT unnest(['customer_name', 'note']) AS a), n AS (SELECT unnest(['customer_title', 'zone']) AS b),
- p AS (SELECT a, b, max(CASE WHEN contains(b, a[i : i + k - 1]) THEN k ELSE 0 END) AS score FROM o, n, (SELECT unnest(range(1, 30)) AS i), (SELECT unnest(range(1, 30)) AS k) WHERE i + k - 1 <= length(a) GROUP BY 1, 2)
- SELECT a AS old_field, b AS new_field, CAST(score AS INTEGER) AS score FROM p WHERE score >= 4 AND a = 'customer_name' AND b = 'customer_title'""")
+@query("e02_rename", """WITH o AS (SELECT n_regionkey AS r, lower(n_name) || '_total' AS a FROM nation), n AS (SELECT n_regionkey AS r, 'sum_' || reverse(lower(n_name)) || lower(n_name) AS b FROM nation),
+ p AS (SELECT r, a, b, max(CASE WHEN contains(b, a[i : i + k - 1]) THEN k ELSE 0 END) AS score FROM o JOIN n USING (r), (SELECT unnest(range(1, 40)) AS i), (SELECT unnest(range(1, 40)) AS k) WHERE i + k - 1 <= length(a) GROUP BY 1, 2, 3)
+ SELECT a AS old_field, b AS new_field, CAST(score AS INTEGER) AS score FROM p WHERE score >= 4 QUALIFY row_number() OVER (PARTITION BY r, a ORDER BY score DESC, b) = 1""")
 def e02_rename(spark, sf_dir):
-    old, new = snapshots(spark)
-    gone, come = old.join(new, ["pair", "field"], "left_anti"), new.join(old, ["pair", "field"], "left_anti")
+    nation, name = table(spark, sf_dir, "nation"), F.lower("n_name")
+    fields = lambda x: nation.select(F.col("n_regionkey").cast("string").alias("pair"), x.alias("field"), F.lit("string").alias("type"), F.lit(False).alias("required"))
+    gone, come = fields(F.concat(name, F.lit("_total"))), fields(F.concat(F.lit("sum_"), F.reverse(name), name))
     return evolve.rename_candidates(gone, come).where("choice = 1").select("old_field", "new_field", "score")
 
 
@@ -603,14 +610,16 @@ def g09_blame_score(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", lineage.blame_score((F.col("event_id") % 12).cast("double"), F.col("event_id") % 4).alias("score"))
 
 
-REGISTRY = [("c1", "s1", ["a"], [("facts.confidence", "scale")], "ENFORCE"), ("c1", "s2", ["b"], [("doc_id", "key")], "AUDIT"), ("c2", "s3", [], [("doc_id", "key")], "ENFORCE")]
-
-
-@query("j04_registry", """SELECT * FROM (VALUES ('c1', 'facts[*].confidence', 's1', true, true), ('c1', 'facts[*].confidence', 's2', false, false), ('c1', 'facts', 's1', true, true), ('c1', 'facts', 's2', false, false), ('c2', 'doc_id', 's3', true, true))
- t(contract_id, field, subscriber_id, matched, enforced)""")
+@query("j04_registry", """WITH f AS (SELECT DISTINCT 'n' || s_nationkey AS contract_id, ['facts[*]', 'facts', 'facts[*].building.x', 'facts.machinery', 'factsx', 'doc_id'][s_suppkey % 6 + 1] AS field FROM supplier),
+ r AS (SELECT 'n' || c_nationkey AS contract_id, c_name AS subscriber_id, 'facts.' || lower(c_mktsegment) AS breaks, CASE c_custkey % 3 WHEN 0 THEN 'ENFORCE' WHEN 1 THEN 'AUDIT' END AS mode FROM customer), m AS (SELECT *, replace(field, '[*]', '') AS plain FROM f JOIN r USING (contract_id))
+ SELECT contract_id, field, subscriber_id, breaks = plain OR starts_with(plain, breaks || '.') OR starts_with(breaks, plain || '.') AS matched, coalesce(mode, 'ENFORCE') = 'ENFORCE' AS enforced FROM m""")
 def j04_registry(spark, sf_dir):
-    registry = spark.createDataFrame(REGISTRY, "contract_id string, subscriber_id string, fields_consumed array<string>, breaking_fields array<struct<field:string,reason:string>>, validation_mode string")
-    failing = spark.createDataFrame([("c1", "facts[*].confidence"), ("c1", "facts"), ("c2", "doc_id"), ("c9", "x")], "contract_id string, field string")
+    contract = lambda key: F.concat(F.lit("n"), F.col(key).cast("string")).alias("contract_id")
+    mode = F.when(F.col("c_custkey") % 3 == 0, "ENFORCE").when(F.col("c_custkey") % 3 == 1, "AUDIT").alias("validation_mode")
+    breaks = F.array(F.struct(F.concat(F.lit("facts."), F.lower("c_mktsegment")).alias("field"), F.lit("type").alias("reason"))).alias("breaking_fields")
+    registry = table(spark, sf_dir, "customer").select(contract("c_nationkey"), F.col("c_name").alias("subscriber_id"), breaks, mode)
+    names = F.array(*map(F.lit, ["facts[*]", "facts", "facts[*].building.x", "facts.machinery", "factsx", "doc_id"]))
+    failing = table(spark, sf_dir, "supplier").select(contract("s_nationkey"), names[(F.col("s_suppkey") % 6).cast("int")].alias("field")).distinct()
     return lineage.registry_matches(failing, registry)
 
 
@@ -624,12 +633,16 @@ def ai01_centroid_drift(spark, sf_dir):
     return ai.embedding_drift(ai.centroid(v.where("vec_id >= 250")), ai.centroid(v.where("vec_id < 250")))
 
 
-@query("ai02_baseline_states", "SELECT * FROM (VALUES ('first', 'BASELINE_SET'), ('other', 'BASELINE_RESET'), ('same', 'PASS')) t(name, status)")
+@query("ai02_baseline_states", """WITH x AS (SELECT vec_id % 7 = 0 AS part, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), c AS (SELECT i, avg(v) AS a, avg(v) FILTER (WHERE part) AS b FROM x GROUP BY 1),
+ d AS (SELECT round(1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b)) + 1e-9), 4) AS part, round(1 - sum(a * a) / (sqrt(sum(a * a)) * sqrt(sum(a * a)) + 1e-9), 4) AS same, count(*) AS n, count(*) FILTER (WHERE i <= 8) AS short FROM c),
+ t AS (SELECT unnest(['part', 'same', 'other']) AS name, unnest([part, same, 0.0]) AS drift, unnest([false, false, n <> short]) AS resized FROM d)
+ SELECT name, drift, CASE WHEN resized THEN 'BASELINE_RESET' WHEN drift > 0.25 THEN 'FAIL' WHEN drift > 0.15 THEN 'WARN' ELSE 'PASS' END AS status FROM t UNION ALL SELECT 'first', 0.0, 'BASELINE_SET'""")
 def ai02_baseline_states(spark, sf_dir):
-    c = ai.centroid(table(spark, sf_dir, "embeddings"))
+    vectors = table(spark, sf_dir, "embeddings")
+    c, part = ai.centroid(vectors), ai.centroid(vectors.where("vec_id % 7 = 0"))
     short = c.select(F.slice("centroid", 1, 8).alias("centroid"), "n")
-    out = [ai.embedding_drift(c, b).select(F.lit(n).alias("name"), "status") for n, b in (("first", None), ("other", short), ("same", c))]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    states = [ai.embedding_drift(c, b).select(F.lit(n).alias("name"), "drift", "status") for n, b in (("first", None), ("other", short), ("same", c), ("part", part))]
+    return reduce(DataFrame.unionByName, states)
 
 
 @query("ai05_quarantine", """SELECT doc_id, list_filter([CASE WHEN length(text) < 200 THEN 'text:minLength' END, CASE WHEN length(text) > 5000 THEN 'text:maxLength' END, CASE WHEN NOT regexp_matches(source, '^src[0-9]$') THEN 'source:pattern' END, CASE WHEN lang NOT IN ('en', 'de', 'fr') THEN 'lang:enum' END], lambda x: x IS NOT NULL) AS errors FROM documents""")
@@ -665,10 +678,13 @@ def m02_text_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<li>"), F.lit(0))).cast("long").alias("items"), F.sha2(F.concat("url", F.lit(":rubric_v1.0.0")), 256).alias("rubric_id"))
 
 
-@query("m05_node_ids", "SELECT * FROM (VALUES ('sink:orders', 'table::orders'), ('service:api', 'service::api'), ('a/b/c/d.py', 'file::b/c/d.py'), ('C:\\x\\cloned_repo_12\\src\\m.py', 'table::x/cloned_repo_12/src/m.py'), ('other:z', 'table::z')) t(raw, node_id) WHERE raw NOT LIKE 'C:%'")
+@query("m05_node_ids", r"""WITH t AS (SELECT page_id % 6 AS k, regexp_replace(url, '^https?://', '') AS rest FROM pages),
+ r AS (SELECT k, rest, CASE k WHEN 0 THEN 'sink:' WHEN 1 THEN 'SERVICE:' WHEN 2 THEN 'other:' WHEN 3 THEN 'file:' WHEN 4 THEN 'file:C:\cloned_repo_' || length(rest) || '\' ELSE '' END || rest AS raw FROM t)
+ SELECT raw, CASE k WHEN 0 THEN 'table::' || rest WHEN 1 THEN 'service::' || rest WHEN 2 THEN 'table::' || rest WHEN 4 THEN 'file::' || rest ELSE 'file::' || array_to_string(string_split(rest, '/')[-3:], '/') END AS node_id FROM r""")
 def m05_node_ids(spark, sf_dir):
-    raw = spark.createDataFrame([("sink:orders",), ("service:api",), ("a/b/c/d.py",), ("other:z",)], "raw string")
-    return raw.select("raw", etl.node_id(F.col("raw")).alias("node_id"))
+    rest, k = F.regexp_replace("url", "^https?://", ""), F.col("page_id") % 6
+    prefix = F.when(k == 0, "sink:").when(k == 1, "SERVICE:").when(k == 2, "other:").when(k == 3, "file:").when(k == 4, F.format_string("file:C:\\cloned_repo_%d\\", F.length(rest))).otherwise("")
+    return table(spark, sf_dir, "pages").select(F.concat(prefix, rest).alias("raw")).select("raw", etl.node_id(F.col("raw")).alias("node_id"))
 
 
 STREAMS = "(SELECT 'loan-' || user_id AS stream_id, event_id, ts, event_type FROM events)"
@@ -722,12 +738,18 @@ def b01_self_check(spark, sf_dir):
     return validate.validate(df, contract).groupBy("check_type", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("w04_consecutive", "SELECT * FROM (VALUES ('s|2026-01-02 00:00:00', 'b', 'REMOVE_COLUMN'), ('s|2026-01-03 00:00:00', 'c', 'ADD_NULLABLE_COLUMN')) t(pair, field, change_type)")
+@query("w04_consecutive", """WITH f AS (SELECT DISTINCT o_orderpriority AS stem, CAST(date_trunc('month', CAST(o_orderdate AS DATE)) AS DATE) AS taken, o_custkey % 12 AS k FROM orders),
+ s AS (SELECT stem, taken, lag(taken) OVER (PARTITION BY stem ORDER BY taken) AS before FROM (SELECT DISTINCT stem, taken FROM f)),
+ o AS (SELECT s.stem, s.taken, f.k FROM s JOIN f ON f.stem = s.stem AND f.taken = s.before), n AS (SELECT s.stem, s.taken, f.k FROM s JOIN f ON f.stem = s.stem AND f.taken = s.taken WHERE s.before IS NOT NULL)
+ SELECT stem || '|' || CAST(taken AS VARCHAR) AS pair, 'f' || k AS field, CASE WHEN n.k IS NULL THEN 'REMOVE_COLUMN' WHEN k % 2 = 0 THEN 'ADD_NULLABLE_COLUMN' ELSE 'ADD_NONNULLABLE_COLUMN' END AS change_type
+ FROM o FULL JOIN n USING (stem, taken, k) WHERE o.k IS NULL OR n.k IS NULL""")
 def w04_consecutive(spark, sf_dir):
-    days = {1: ["a", "b"], 2: ["a"], 3: ["a", "c"]}
-    rows = [("s", f"2026-01-0{d} 00:00:00", f, "string", f != "c", f == "c", None) for d, fields in days.items() for f in fields]
-    given = spark.createDataFrame(rows, "stem string, at string, field string, type string, required boolean, nullable boolean, enum_values array<string>")
-    return evolve.diff(*evolve.consecutive(given.withColumn("taken", F.col("at").cast("timestamp_ntz")))).select("pair", "field", "change_type")
+    k = F.col("o_custkey") % 12
+    name = lambda head: F.concat(F.lit(head), k.cast("string"))
+    taken = F.trunc(F.col("o_orderdate").cast("date"), "month").alias("taken")
+    fields = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("stem"), taken, name("f").alias("field"), name("t").alias("type"), (k % 2 != 0).alias("required"), (k % 2 == 0).alias("nullable"))
+    given = fields.distinct().withColumn("enum_values", F.lit(None).cast("array<string>"))
+    return evolve.diff(*evolve.consecutive(given)).select("pair", "field", "change_type")
 
 
 @query("g03_contract_lineage", "SELECT * FROM (VALUES ('up', ['b', 'a', 'z']), ('down', ['dashboard'])) t(side, labels)")
