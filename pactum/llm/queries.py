@@ -81,7 +81,8 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     words = lm_scoring.vocabulary(docs)
-    return lm_scoring.score(docs, words, lm_scoring.train(docs, words)).select(
+    net = lm_scoring.train(docs, words)
+    return lm_scoring.score(docs, words, net, common=net.common).select(
         "doc_id", "n_tokens", "log_likelihood", (F.col("log_likelihood") / F.greatest("n_tokens", F.lit(1))).alias("mean_log_likelihood")
     )
 

@@ -334,3 +334,35 @@ def test_hash_sample_is_the_start_of_one_order(spark):
     whole = [r.k for r in hash_sample(df, "k", 3000, 3000)]
     assert sorted(whole) == list(range(3000)) and [r.k for r in hash_sample(df, "k", 40, 3000)] == whole[:40]
     assert [r.k for r in hash_sample(df, "k", 40, 10**9)] == whole[:40]  # a wrong total costs a second pass only
+
+
+def test_lm_memory_counts_every_context(spark):
+    """As shipped, each context has a cell: a text put in twice gains in each of its contexts, not in a hashed fraction."""
+    rnd = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rnd.integers(0, 10**6, 300)) for _ in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:3])), "doc_id long, text string")
+    words = lm_scoring.vocabulary(docs, most_words=40)
+    net = lm_scoring.train(docs, words, classes=8, members=5, hidden=4)
+    got = {r.doc_id: r.log_likelihood for r in lm_scoring.score(docs, words, net).collect()}
+    for i, (n, p) in enumerate(brute_scores(texts + texts[:3], words, net, 1, lm_scoring.SHARE)):
+        assert n == 300 and got[i] == pytest.approx(p, rel=1e-3)
+        assert (got[i] > 300 * np.log(lm_scoring.SHARE) - 1) == (i % 6 < 3)  # each token is known to the other copy
+
+
+@pytest.mark.parametrize("frequent", [0, 3])
+def test_lm_common_cells_are_counted_beforehand(spark, monkeypatch, frequent):
+    """Cells of frequent words and of the texts' ends, over several buckets: the same scores as by plain loops."""
+    monkeypatch.setattr(lm_scoring, "hot_bound", lambda *_: 1)
+    monkeypatch.setattr(lm_scoring, "max", lambda a, b: b if a == 1 << 14 else max(a, b), raising=False)
+    monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
+    rnd = np.random.default_rng(6)
+    texts = [" ".join(f"w{k}" for k in np.minimum(rnd.geometric(0.3, rnd.integers(0, 40)), 12)) for _ in range(80)] + ["w1", "w1", "solo", "w1 " * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = lm_scoring.vocabulary(docs, most_words=8)
+    common = lm_scoring.common_cells(docs, words)
+    assert len(common.words) == frequent and words.buckets() == lm_scoring.LEAST_BUCKETS
+    net = lm_scoring.train(docs, words, classes=2, members=4, hidden=4)
+    got = {r.doc_id: (r.n_tokens, r.log_likelihood) for r in lm_scoring.score(docs, words, net).collect()}
+    assert (net.common.counts == common.counts).all()  # counted on the way, too
+    for i, (n, p) in enumerate(brute_scores(texts, words, net, 1, lm_scoring.SHARE)):
+        assert got[i][0] == n and got[i][1] == pytest.approx(p, rel=1e-3, abs=1e-2)
