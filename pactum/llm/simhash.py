@@ -18,6 +18,10 @@ has fewer edges than members and the same components.  A list above
 way: each is put under all values within d/2 bits of it, and two values are
 within d bits if and only if they share such a neighbour.
 
+`keep_one` looks for a Jaccard similarity that parts more bits than any count of
+shared bytes covers.  It lists wider fingerprints, of 192 positions of two bytes,
+under single positions, and verifies what meets by bits and then by shingles.
+
 Components come from alternating large-star and small-star rounds, each a
 pre-aggregated minimum and a join, with the lineage cut every round.
 
@@ -49,6 +53,7 @@ from pyspark.sql import functions as F
 from .common import LAST_ID, cut, hot, join_split, map_arrow, refuse, shuffle_partitions
 
 SEED, BITS, MOST_LISTED = 42, 64, 1 << 15
+SHORT = 16  # members of lists all of whose pairs are compared at once
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -129,6 +134,26 @@ def sweep(ids: np.ndarray, prints: np.ndarray, distance: int, least_shared: int
                 ids, prints = ids[~near], prints[~near]
 
 
+def apart(prints: np.ndarray, distance: int) -> bool:
+    """Whether no two of `prints` (rows, words) are within the distance."""
+    bits = sum(np.bitwise_count(w[:, None] ^ w).astype(np.int16) for w in prints.T)
+    return int((bits <= distance).sum()) == len(prints)
+
+
+def short_links(keys: np.ndarray, ids: np.ndarray, prints: np.ndarray, short: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """All links of the lists, sorted by key, whose rows are marked `short`: each row against the next, the next but one ..."""
+    out = []
+    for step in range(1, SHORT):
+        at = np.flatnonzero((keys[step:] == keys[:-step]) & short[step:])
+        if not len(at):
+            break
+        near = at[np.bitwise_count(prints[at] ^ prints[at + step]).sum(axis=1) <= distance]
+        near = near[ids[near] != ids[near + step]]
+        if len(near):
+            out.append((ids[near], ids[near + step]))
+    return out
+
+
 def _forest(distance: int, most_listed: int, overfull: str, least_shared: int = 0):
     """mapInArrow over (key, id, words of the print ...) sorted by key: the lists' links (u, v).
 
@@ -145,6 +170,8 @@ def _forest(distance: int, most_listed: int, overfull: str, least_shared: int =
                 return []
             ids, at = np.unique(np.concatenate([h[0] for h in held]), return_index=True)
             prints = np.concatenate([h[1] for h in held])[at]
+            if not least_shared and len(ids) <= 512 and apart(prints, distance):
+                return []
             return [(np.full(len(v), u, dtype=np.int64), v) for u, v in sweep(ids, prints, distance, least_shared)]
 
         def passed(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
@@ -163,7 +190,12 @@ def _forest(distance: int, most_listed: int, overfull: str, least_shared: int =
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             ends, out = np.r_[starts[1:], len(keys)], []
             # lists of one member inside a batch have no links; the first and the last may go on
-            for i in np.flatnonzero((ends - starts > 1) | (starts == 0) | (ends == len(keys))):
+            several, inside = ends - starts > 1, (starts > 0) & (ends < len(keys))
+            if not least_shared and most_listed >= SHORT:
+                short = inside & (ends - starts <= SHORT)
+                out += short_links(keys, ids, prints, np.repeat(short, ends - starts), distance)
+                several &= ~short
+            for i in np.flatnonzero(several | ~inside):
                 a, b = starts[i], ends[i]
                 if key is None or keys[a] != key:
                     out += closed()
@@ -253,22 +285,13 @@ def near_duplicates(docs: DataFrame, n_words: int = 4, distance: int = 4, id_col
     return classes(cut(fingerprints(docs, n_words, id_col, text_col)), distance)
 
 
-# --- near-duplicate texts: banded MinHash candidates, verified by their shingles ---
+# --- near-duplicate texts: candidates of the byte-position index over wide fingerprints, verified by their shingles ---
 
-BANDS, BAND_ROWS = 32, 4  # two texts of similarity s share a band with probability 1 - (1 - s ** 4) ** 32
-CHECKED_DISTANCE = 32  # of the sketches' 128 bits; at a similarity of 0.8 12.8 differ on average
+POSITIONS, WIDTH = 192, 2  # texts at a similarity of 0.8 differ in 15 % of the bits: none of 192 shared has a probability of 4e-7
+SKETCH, CHECKED_DISTANCE = 2, 41  # words beside the positions, and the bits of these 128 that candidates may differ in
 BLOCK, BLOCK_BYTES, PIVOTS = 4096, 16 << 20, 16
-_HASHES = BANDS * BAND_ROWS
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, _HASHES, dtype=np.uint32) | np.uint32(1)
-
-
-def minhashes(shingles: np.ndarray) -> np.ndarray:
-    """Per hash function the smallest value over the shingles' hashes (uint64); without shingles the largest there is."""
-    out = np.full(_HASHES, (1 << 32) - 1, dtype=np.uint32)
-    for at in range(0, len(shingles), 1024):
-        low = shingles[at : at + 1024].astype(np.uint32)
-        np.minimum(out, (low[:, None] * _FACTORS).min(axis=0), out=out)
-    return out
+_WORDS = POSITIONS * WIDTH // 8
+_SALTS = np.random.default_rng(SEED).integers(0, 1 << 64, 2 * (_WORDS + SKETCH), dtype=np.uint64)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -277,30 +300,52 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def banded(mins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of minhashes (texts, hashes): sketches of a bit per hash (texts, 2 words), and a key per band (texts, bands)."""
-    mins = mins.astype(np.uint64)
-    bits = (_mixed(mins) & np.uint64(1)).astype(np.uint8)
-    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(mins), BANDS))
-    for row in range(BAND_ROWS):
-        keys = _mixed(keys * np.uint64(0x9E3779B97F4A7C15) + mins[:, row::BAND_ROWS])
-    return np.packbits(bits, axis=1).view(np.uint64), keys
-
+def wide_simhash(shingles: np.ndarray) -> np.ndarray:
+    """The fingerprint (words) of a set of shingles' hashes: `POSITIONS` values of `WIDTH` bytes, then the sketch.
 
-def band_index(docs: DataFrame, n_words: int, text_id: str, text_col: str) -> DataFrame:
-    """(tid, a, b, keys): per row the sketch of its text's shingles and its bands' keys."""
+    Each shingle votes twice a bit, by two hashes.  So votes are even, and sets of
+    different parity, small ones above all, do not part where theirs are tied.
+    """
+    half = len(_SALTS) // 2
+    if not len(shingles):
+        return np.zeros(half, dtype=np.uint64)
+    counts = np.zeros((8, half, 8), dtype=np.int64)
+    # a byte lane holds sums of up to 255 rows
+    for at in range(0, len(shingles), 127):
+        votes = _mixed(shingles[at : at + 127, None] ^ _SALTS).reshape(-1, half)
+        for bit in range(8):
+            counts[bit] += ((votes >> np.uint64(bit)) & _LANES).sum(axis=0, dtype=np.uint64).view(np.uint8).reshape(half, 8)
+    over = (counts > len(shingles)).astype(np.uint8)
+    return np.bitwise_or.reduce([np.ascontiguousarray(x).view(np.uint64).reshape(half) << np.uint64(bit) for bit, x in enumerate(over)])
+
+
+def wide_fingerprints(docs: DataFrame, n_words: int, text_id: str, text_col: str) -> DataFrame:
+    """(tid, print) of every row: the wide fingerprint of its text's set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = (np.array(shingle_hashes(t or "", n_words), dtype=np.uint64) for t in part.column(1).to_pylist())
-                sketches, keys = banded(np.stack([minhashes(x) for x in sets]))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
-                a, b = (pa.array(np.ascontiguousarray(sketches[:, k]).view(np.int64)) for k in range(2))
-                yield pa.RecordBatch.from_arrays([part.column(0), a, b, lists], ["tid", "a", "b", "keys"])
+                sets = (np.unique(np.array(shingle_hashes(t or "", n_words), dtype=np.uint64)) for t in part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([wide_simhash(x).tobytes() for x in sets], pa.binary())], ["tid", "print"])
+
+    return map_arrow(docs.select(text_id, text_col), run, "tid long, print binary")
+
+
+def positional_index(prints: DataFrame) -> DataFrame:
+    """(key, tid, a, b): the index over `prints` (tid, print) lists each under every position with its value; a and b are its sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = np.arange(POSITIONS, dtype=np.int64) << (8 * WIDTH)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint64).reshape(part.num_rows, -1)
+                keys = first + np.ascontiguousarray(rows[:, :_WORDS]).view(np.uint16)
+                columns = [part.column(0).to_numpy(), *rows[:, _WORDS:].view(np.int64).T]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(c, POSITIONS)) for c in columns)], ["key", "tid", "a", "b"])
 
-    return map_arrow(docs.select(text_id, text_col), run, "tid long, a long, b long, keys array<long>")
+    return map_arrow(prints.select("tid", "print"), run, "key long, tid long, a long, b long")
 
 
 def _verify(n_words: int, similarity: float):
@@ -377,11 +422,11 @@ def _with_texts(rows: DataFrame, texts: DataFrame, lo: str, hi: str) -> DataFram
     return rows.select("root", F.col(lo).alias("lo"), F.col(hi).alias("hi"), "node").join(texts, "node")
 
 
-def verified_links(groups: DataFrame, texts: DataFrame, index: DataFrame, n_words: int, similarity: float, block: int) -> DataFrame:
+def verified_links(groups: DataFrame, texts: DataFrame, prints: DataFrame, n_words: int, similarity: float, block: int) -> DataFrame:
     """Links (u, v) with the components of all pairs at the similarity that share a list or a small candidate group.
 
     groups: (node, root, bytes) of candidate groups; texts: (node, t) of their
-    members; index: (key, node), the candidate lists.  Groups of up to `block`
+    members; prints: (tid, print), whose index has the candidate lists.  Groups of up to `block`
     texts are verified whole, in one task's memory.  A larger one is dealt into
     blocks, each verified whole together with the group's `PIVOTS` most central
     members, so every text travels once and families join through their middle.
@@ -395,7 +440,8 @@ def verified_links(groups: DataFrame, texts: DataFrame, index: DataFrame, n_word
     dealt = members.select("root", _dealt("k").alias("i"), "node")
     if big.isEmpty():
         return _blocked(_with_texts(dealt, texts, "i", "i"), n_words, similarity)
-    lists = cut(index.join(big.select("node"), "node"))
+    listed = positional_index(prints.join(big.select(F.col("node").alias("tid")), "tid", "left_semi"))
+    lists = cut(listed.select("key", F.col("tid").alias("node")))
     # the members whose lists are the longest are nearest to the middle of their group
     lengths = cut(lists.groupBy("key").agg(F.count("*").alias("n")))
     degrees = join_split(lists, lengths.withColumn("length", F.col("n")), "key", *hot(lengths)).groupBy("node").agg(F.sum("length").alias("degree"))
@@ -425,26 +471,29 @@ def keep_one(docs: DataFrame, n_words: int = 5, similarity: float = 0.8, id_col:
 
     Texts link if their sets of `n_words`-word shingles (A-Z lower-cased) have a
     Jaccard similarity of at least `similarity`; groups are the components.
-    Candidates share one of 32 bands of four minhashes of their shingles, and
-    differ in at most 32 bits of a sketch of 128; at a similarity of 0.8 a pair
-    fails the first with probability 5e-8 and the second with 3e-7, and less
-    above.  These odds are for 0.8; a lower `similarity` needs more bands and a
-    wider check.  Every link is verified exactly; see `verified_links`.
+    Candidates come from the byte-position index over SimHash fingerprints of the
+    shingles, 192 positions of two bytes: at a similarity of 0.8 or more at most
+    15 % of the bits differ, which no count of shared positions follows from for
+    certain, but one of 192 is shared but for a probability of 4e-7.  The lists so
+    hold the pairs whose tally reaches one.  A listed pair is verified by the bits
+    of a sketch of 128 beside the positions, of which at most 41 may differ (at
+    0.8 more do with a probability of 4e-7).  These odds are for 0.8; a lower
+    `similarity` needs more positions and a wider check.  Every link is verified
+    exactly on the shingles; see `verified_links`.
     """
     refuse(docs, "__")
     fixed = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumns({"__tid": F.xxhash64(text), "__id": fixed})
     first = cut(keyed.groupBy("__tid").agg(F.min("__id").alias("first_id"), F.count("*").alias("rows"), F.max(F.octet_length(text)).cast("long").alias("bytes")))
-    prints = band_index(keyed, n_words, "__tid", text_col).groupBy("tid").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.min("keys").alias("keys"))
-    prints = cut(prints)
-    index = prints.select(F.explode("keys").alias("key"), "tid", "a", "b")
+    prints = cut(wide_fingerprints(keyed, n_words, "__tid", text_col).groupBy("tid").agg(F.min("print").alias("print")))
+    index = positional_index(prints)
     candidates = components(_linked(index, _forest(CHECKED_DISTANCE, most_listed, "chain")))
     groups = candidates.select("node", "root").unionByName(candidates.select(F.col("root").alias("node"), "root")).distinct()
     groups = cut(groups.join(first, groups.node == first["__tid"]).select("node", "root", "first_id", "bytes"))
     whole = keyed.select("__id", "__tid", text.alias("t")).join(groups.select("node", "first_id"), (F.col("__id") == F.col("first_id")) & (F.col("__tid") == F.col("node")))
     texts = cut(whole.select("node", "t"))
-    verified = components(verified_links(groups, texts, index.select("key", F.col("tid").alias("node")), n_words, similarity, block))
+    verified = components(verified_links(groups, texts, prints, n_words, similarity, block))
     classed = first.join(verified, first["__tid"] == verified.node, "left").select("__tid", F.coalesce("root", "__tid").alias("class"), "first_id", "rows")
     kept = cut(classed.groupBy("class").agg(F.min(F.struct("first_id", "__tid")).alias("one"), F.max("rows").alias("rows")))
     stay = kept.select(F.col("one.first_id").alias("__id"), F.col("one.__tid").alias("__tid"))

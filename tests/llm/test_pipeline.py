@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -181,3 +182,34 @@ def test_stages_take_awkward_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, D)
         docs.collect()
+
+
+def test_near_duplicate_candidates_come_from_the_position_index(spark):
+    """Prints are majorities of their shingles' votes, and lists hold exactly the pairs that share a positional value."""
+    rnd = np.random.default_rng(4)
+    sets = [rnd.integers(0, 1 << 64, n, dtype=np.uint64) for n in (1, 4, 5, 130, 300)]
+    for x in sets:
+        votes = simhash._mixed(x[:, None] ^ simhash._SALTS).reshape(2 * len(x), -1)
+        bits = np.unpackbits(votes.view(np.uint8), axis=1, bitorder="little").reshape(2 * len(x), -1).sum(axis=0) > len(x)
+        assert (simhash.wide_simhash(x) == np.packbits(bits, bitorder="little").view(np.uint64)).all()
+    prints = {i: simhash.wide_simhash(np.concatenate([sets[4][: 300 - 30 * i], sets[3][: 4 * i]])) for i in range(6)}
+    frame = spark.createDataFrame([(i, bytearray(p.tobytes())) for i, p in prints.items()], "tid long, print binary")
+    lists = defaultdict(list)
+    for r in simhash.positional_index(frame).collect():
+        lists[r.key].append(r.tid)
+        assert [r.a, r.b] == prints[r.tid][-2:].view(np.int64).tolist()
+    tally = Counter((i, j) for x in lists.values() for i in x for j in x if i < j)
+    positions = {i: p[:-2].view(np.uint16) for i, p in prints.items()}
+    want = {(i, j): int((positions[i] == positions[j]).sum()) for i in prints for j in prints if i < j}
+    assert {k: n for k, n in want.items() if n} == dict(tally) and min(want[i, i + 1] for i in range(5)) >= 1
+
+
+def test_links_of_short_lists_are_those_of_sweeps():
+    rnd = np.random.default_rng(7)
+    prints = rnd.integers(0, 1 << 64, (400, 2), dtype=np.uint64)
+    prints[1::2] = prints[::2] ^ (np.uint64(1) << rnd.integers(0, 64, (200, 2), dtype=np.uint64))
+    keys, ids = np.repeat(np.arange(40), 10), np.arange(400)
+    found = {(a, b) for u, v in simhash.short_links(keys, ids, prints, keys % 2 == 0, 41) for a, b in zip(u, v)}
+    near = lambda a, b: np.bitwise_count(prints[a] ^ prints[b]).sum() <= 41
+    assert found == {(a, b) for a in range(400) for b in range(a + 1, 400) if keys[a] == keys[b] and keys[a] % 2 == 0 and near(a, b)}
+    assert len(found) >= 100 and simhash.apart(prints[::2][:5], 10) and not simhash.apart(prints[:4], 41)
