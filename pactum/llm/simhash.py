@@ -193,8 +193,9 @@ def _forest(distance: int, most_listed: int, overfull: str, least_shared: int =
             several, inside = ends - starts > 1, (starts > 0) & (ends < len(keys))
             if not least_shared and most_listed >= SHORT:
                 short = inside & (ends - starts <= SHORT)
-                out += short_links(keys, ids, prints, np.repeat(short, ends - starts), distance)
-                several &= ~short
+                pairs = short_links(keys, np.arange(len(keys)), prints, np.repeat(short, ends - starts), distance)
+                linked = np.concatenate([keys[at] for at, _ in pairs] or [keys[:0]])
+                several &= ~short | np.isin(keys[starts], linked)  # a list with links yields a forest of them, not all
             for i in np.flatnonzero(several | ~inside):
                 a, b = starts[i], ends[i]
                 if key is None or keys[a] != key:
@@ -223,6 +224,35 @@ def _linked(index: DataFrame, forest) -> DataFrame:
     return cut(map_arrow(listed, forest, "u long, v long").distinct())
 
 
+def thinned(pairs: DataFrame, most_held: int = 1 << 20) -> DataFrame:
+    """Links (u, v) with the components of `pairs`: each task drops those whose ends its others join already.
+
+    The square root of the tasks' count shares the work, so a group that many lists
+    name has about that many links a member, however many lists there are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        for batch in batches:
+            kept = np.zeros(batch.num_rows, dtype=bool)
+            for i, (u, v) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                a, b = root(u), root(v)
+                if a != b:
+                    parent[a], kept[i] = b, True
+            yield batch.filter(pa.array(kept))
+            if len(parent) > most_held:
+                parent.clear()
+
+    groups = int(pairs.rdd.getNumPartitions() ** 0.5) or 1
+    return map_arrow(pairs.coalesce(groups), run, "u long, v long")
+
+
 def links(fps: DataFrame, distance: int = 4, most_listed: int = MOST_LISTED) -> DataFrame:
     """Links (u, v) whose components are those of all pairs within `distance` bits among the distinct `fp`."""
     masks = F.array(*[F.lit(m).cast("long") for m in choices(8, 1, 8 - distance)])
@@ -488,7 +518,7 @@ def keep_one(docs: DataFrame, n_words: int = 5, similarity: float = 0.8, id_col:
     first = cut(keyed.groupBy("__tid").agg(F.min("__id").alias("first_id"), F.count("*").alias("rows"), F.max(F.octet_length(text)).cast("long").alias("bytes")))
     prints = cut(wide_fingerprints(keyed, n_words, "__tid", text_col).groupBy("tid").agg(F.min("print").alias("print")))
     index = positional_index(prints)
-    candidates = components(_linked(index, _forest(CHECKED_DISTANCE, most_listed, "chain")))
+    candidates = components(thinned(_linked(index, _forest(CHECKED_DISTANCE, most_listed, "chain"))))
     groups = candidates.select("node", "root").unionByName(candidates.select(F.col("root").alias("node"), "root")).distinct()
     groups = cut(groups.join(first, groups.node == first["__tid"]).select("node", "root", "first_id", "bytes"))
     whole = keyed.select("__id", "__tid", text.alias("t")).join(groups.select("node", "first_id"), (F.col("__id") == F.col("first_id")) & (F.col("__tid") == F.col("node")))

@@ -213,3 +213,13 @@ def test_links_of_short_lists_are_those_of_sweeps():
     near = lambda a, b: np.bitwise_count(prints[a] ^ prints[b]).sum() <= 41
     assert found == {(a, b) for a in range(400) for b in range(a + 1, 400) if keys[a] == keys[b] and keys[a] % 2 == 0 and near(a, b)}
     assert len(found) >= 100 and simhash.apart(prints[::2][:5], 10) and not simhash.apart(prints[:4], 41)
+
+
+@pytest.mark.parametrize("most_held", [20, 1 << 20])
+def test_thinned_links_keep_their_components(spark, most_held):
+    rnd = random.Random(2)
+    pairs = [(10 * g + rnd.randrange(10), 10 * g + rnd.randrange(10)) for g in range(12) for _ in range(60)]
+    df = spark.createDataFrame(pairs, "u long, v long").repartition(4)
+    got = simhash.thinned(df, most_held)
+    assert {tuple(r) for r in simhash.components(got).collect()} == {tuple(r) for r in simhash.components(df).collect()}
+    assert got.count() < 300
